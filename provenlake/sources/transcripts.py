@@ -22,11 +22,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def canonical_lines(lines: DataFrame) -> DataFrame:
-    """(session, seq, line_id, v VARIANT): one row per line that parses."""
+def canonical_lines(lines: DataFrame, *columns: Column) -> DataFrame:
+    """(session, seq, line_id, v VARIANT): one row per line that parses.
+
+    With ``columns`` (expressions over ``v``) those are computed before the shuffle
+    and only they travel, in place of ``v``.
+    """
     parsed = lines.select("session", "seq", "line_id", F.try_parse_json("raw").alias("v")).where(
         "v is not null and session is not null and seq is not null"
     )
+    if columns:
+        parsed = parsed.select("session", "seq", "line_id", *columns)
     first = Window.partitionBy("session", "seq").orderBy("line_id")
     return parsed.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
