@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenlake.llm import conversations, splits
+from provenlake.llm import conversations, leakage, splits, tokenize, toxicity
 from provenlake.sources.transcripts import read_table
 
 
@@ -30,8 +30,37 @@ def p3_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.conversations(files, turns, conversations.defects(files, msgs, turns))
 
 
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize.encode_texts(read_table(spark, sf_dir, "documents"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.fit(docs, read_table(spark, sf_dir, "doc_labels")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.flagged(_scores(spark, sf_dir))
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scores(spark, sf_dir)
+
+
+def p10_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.source_rates(_scores(spark, sf_dir))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_conversations)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_conversations, p8_ids, p9_found, p9_leaks, p10_found, p10_scores, p10_source_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
