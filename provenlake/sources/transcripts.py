@@ -54,28 +54,56 @@ def blocks(lines: DataFrame) -> DataFrame:
     )
 
 
-def first_present(v: str, names: tuple[str, ...]) -> Column:
+def field(v: Column, name: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(v, f"$.{name}", kind)
+
+
+def first_present(v: Column | str, names: tuple[str, ...]) -> Column:
     """The first of the named fields that is there and not null, as a VARIANT."""
-    got = [vget(v, f"$.{n}", "variant") for n in names]
+    v = F.col(v) if isinstance(v, str) else v
+    got = [field(v, n) for n in names]
     return F.coalesce(*[F.when(~F.is_variant_null(g), g) for g in got])
 
 
-def content_text(c: str) -> Column:
+def string_of(v: Column) -> Column:
+    """A VARIANT's string, null for any other type."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def content_text(c: Column | str) -> Column:
     """Text of a content: the string, an object's text, an array's texts joined by newlines."""
-    kind = F.expr(f"schema_of_variant({c})")
-    pieces = vget(c, "$", "array<variant>")
-    joined = F.array_join(
-        F.filter(F.transform(pieces, lambda p: F.when(F.schema_of_variant(p) == "STRING", F.try_variant_get(p, "$", "string")).otherwise(text_of(p))), lambda t: t.isNotNull()),
-        "\n",
-    )
-    obj = F.when(F.expr(f"schema_of_variant(try_variant_get({c}, '$.text', 'variant'))") == "STRING", vget(c, "$.text", "string"))
+    c = F.col(c) if isinstance(c, str) else c
+    kind = F.schema_of_variant(c)
+    pieces = F.transform(F.try_variant_get(c, "$", "array<variant>"), lambda p: F.coalesce(string_of(p), string_of(field(p, "text"))))
     return (
-        F.when(kind == "STRING", vget(c, "$", "string"))
-        .when(kind.startswith("ARRAY"), joined)
-        .when(kind.startswith("OBJECT"), obj)
+        F.when(kind == "STRING", F.try_variant_get(c, "$", "string"))
+        .when(kind.startswith("ARRAY"), F.array_join(F.filter(pieces, lambda t: t.isNotNull()), "\n"))
+        .when(kind.startswith("OBJECT"), string_of(field(c, "text")))
     )
 
 
-def text_of(p: Column) -> Column:
-    t = F.try_variant_get(p, "$.text", "variant")
-    return F.when(F.schema_of_variant(t) == "STRING", F.try_variant_get(t, "$", "string"))
+def _texts(lines: DataFrame, pick) -> DataFrame:
+    """(session, seq, block, text) of the blocks for which ``pick`` gives a text; only texts are shuffled."""
+    body = F.expr("try_variant_get(v, '$.message.content', 'array<variant>')")
+    rows = F.filter(F.transform(body, lambda b, i: F.struct(i.cast("long").alias("block"), pick(b).alias("text"))), lambda r: r["text"].isNotNull())
+    return canonical_lines(lines, rows.alias("texts")).select("session", "seq", F.inline("texts"))
+
+
+def text_blocks(lines: DataFrame) -> DataFrame:
+    """(session, seq, block, text) of every text block."""
+    return _texts(lines, lambda b: F.when(field(b, "type", "string") == "text", string_of(field(b, "text"))))
+
+
+def result_texts(lines: DataFrame) -> DataFrame:
+    """(session, seq, block, text) of every tool_result that has a content."""
+    return _texts(lines, lambda b: F.when(field(b, "type", "string") == "tool_result", content_text(first_present(b, CONTENT_NAMES))))
+
+
+def all_texts(lines: DataFrame) -> DataFrame:
+    """Text blocks and contents of tool_results alike, in one pass."""
+
+    def pick(b: Column) -> Column:
+        kind = field(b, "type", "string")
+        return F.when(kind == "text", string_of(field(b, "text"))).when(kind == "tool_result", content_text(first_present(b, CONTENT_NAMES)))
+
+    return _texts(lines, pick)
