@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenlake.llm import conversations, leakage, splits, tokenize, toxicity
-from provenlake.sources.transcripts import read_table
+from provenlake.llm import conversations, leakage, sentences, splits, tokenize, toxicity
+from provenlake.sources.transcripts import read_table, text_blocks
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,10 @@ def p3_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.conversations(files, turns, conversations.defects(files, msgs, turns))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentence_units(text_blocks(read_table(spark, sf_dir, "transcript_lines")))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_texts(read_table(spark, sf_dir, "documents"))
 
@@ -60,7 +64,7 @@ def p10_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_conversations, p8_ids, p9_found, p9_leaks, p10_found, p10_scores, p10_source_rates)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_conversations, p5_found, p8_ids, p9_found, p9_leaks, p10_found, p10_scores, p10_source_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
