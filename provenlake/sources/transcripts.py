@@ -83,19 +83,22 @@ def content_text(c: Column | str) -> Column:
 
 
 def _texts(lines: DataFrame, pick) -> DataFrame:
-    """(session, seq, block, text) of the blocks for which ``pick`` gives a text; only texts are shuffled."""
+    """(session, seq, block, btype, text) of the blocks for which ``pick`` gives a text; only texts are shuffled."""
     body = F.expr("try_variant_get(v, '$.message.content', 'array<variant>')")
-    rows = F.filter(F.transform(body, lambda b, i: F.struct(i.cast("long").alias("block"), pick(b).alias("text"))), lambda r: r["text"].isNotNull())
+    rows = F.filter(
+        F.transform(body, lambda b, i: F.struct(i.cast("long").alias("block"), field(b, "type", "string").alias("btype"), pick(b).alias("text"))),
+        lambda r: r["text"].isNotNull(),
+    )
     return canonical_lines(lines, rows.alias("texts")).select("session", "seq", F.inline("texts"))
 
 
 def text_blocks(lines: DataFrame) -> DataFrame:
-    """(session, seq, block, text) of every text block."""
+    """(session, seq, block, btype, text) of every text block."""
     return _texts(lines, lambda b: F.when(field(b, "type", "string") == "text", string_of(field(b, "text"))))
 
 
 def result_texts(lines: DataFrame) -> DataFrame:
-    """(session, seq, block, text) of every tool_result that has a content."""
+    """(session, seq, block, btype, text) of every tool_result that has a content."""
     return _texts(lines, lambda b: F.when(field(b, "type", "string") == "tool_result", content_text(first_present(b, CONTENT_NAMES))))
 
 
