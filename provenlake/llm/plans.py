@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenlake.llm import conversations, leakage, sentences, splits, tokenize, toxicity
-from provenlake.sources.transcripts import read_table, text_blocks
+from provenlake.llm import conversations, leakage, personal, sentences, splits, tokenize, toxicity
+from provenlake.sources.transcripts import all_texts, read_table, text_blocks
+
+KEY = "key of the demonstration; give your own"
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +36,18 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(text_blocks(read_table(spark, sf_dir, "transcript_lines")))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_values(all_texts(read_table(spark, sf_dir, "transcript_lines")), read_table(spark, sf_dir, "manifest"))
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_values(all_texts(read_table(spark, sf_dir, "transcript_lines")), read_table(spark, sf_dir, "manifest"), replace=True, key=KEY)
+
+
+def p6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.surrogates(p6_found(spark, sf_dir), KEY)
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_texts(read_table(spark, sf_dir, "documents"))
 
@@ -64,7 +78,7 @@ def p10_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_conversations, p5_found, p8_ids, p9_found, p9_leaks, p10_found, p10_scores, p10_source_rates)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_conversations, p5_found, p6_found, p6_redacted, p6_surrogates, p8_ids, p9_found, p9_leaks, p10_found, p10_scores, p10_source_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
