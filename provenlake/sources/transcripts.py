@@ -22,17 +22,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def canonical_lines(lines: DataFrame, *columns: Column) -> DataFrame:
+def canonical_lines(lines: DataFrame, *columns: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     """(session, seq, line_id, v VARIANT): one row per line that parses.
 
     With ``columns`` (expressions over ``v``) those are computed before the shuffle
-    and only they travel, in place of ``v``.
+    and only they travel, in place of ``v``.  ``keep`` names further columns of ``lines``.
     """
-    parsed = lines.select("session", "seq", "line_id", F.try_parse_json("raw").alias("v")).where(
+    parsed = lines.select("session", "seq", "line_id", *keep, F.try_parse_json("raw").alias("v")).where(
         "v is not null and session is not null and seq is not null"
     )
     if columns:
-        parsed = parsed.select("session", "seq", "line_id", *columns)
+        parsed = parsed.select("session", "seq", "line_id", *keep, *columns)
     first = Window.partitionBy("session", "seq").orderBy("line_id")
     return parsed.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
@@ -82,14 +82,14 @@ def content_text(c: Column | str) -> Column:
     )
 
 
-def _texts(lines: DataFrame, pick) -> DataFrame:
+def _texts(lines: DataFrame, pick, keep: tuple[str, ...] = ()) -> DataFrame:
     """(session, seq, block, btype, text) of the blocks for which ``pick`` gives a text; only texts are shuffled."""
     body = F.expr("try_variant_get(v, '$.message.content', 'array<variant>')")
     rows = F.filter(
         F.transform(body, lambda b, i: F.struct(i.cast("long").alias("block"), field(b, "type", "string").alias("btype"), pick(b).alias("text"))),
         lambda r: r["text"].isNotNull(),
     )
-    return canonical_lines(lines, rows.alias("texts")).select("session", "seq", F.inline("texts"))
+    return canonical_lines(lines, rows.alias("texts"), keep=keep).select("session", "seq", *keep, F.inline("texts"))
 
 
 def text_blocks(lines: DataFrame) -> DataFrame:
@@ -97,9 +97,9 @@ def text_blocks(lines: DataFrame) -> DataFrame:
     return _texts(lines, lambda b: F.when(field(b, "type", "string") == "text", string_of(field(b, "text"))))
 
 
-def result_texts(lines: DataFrame) -> DataFrame:
+def result_texts(lines: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(session, seq, block, btype, text) of every tool_result that has a content."""
-    return _texts(lines, lambda b: F.when(field(b, "type", "string") == "tool_result", content_text(first_present(b, CONTENT_NAMES))))
+    return _texts(lines, lambda b: F.when(field(b, "type", "string") == "tool_result", content_text(first_present(b, CONTENT_NAMES))), keep)
 
 
 def all_texts(lines: DataFrame) -> DataFrame:
