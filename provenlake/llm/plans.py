@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provenlake.llm import conversations, leakage, personal, sentences, splits, tokenize, toxicity
-from provenlake.sources.transcripts import all_texts, read_table, text_blocks
+from provenlake.llm import conversations, credentials, leakage, personal, sentences, splits, tokenize, toxicity
+from provenlake.sources.transcripts import all_texts, read_table, result_texts, text_blocks
 
 KEY = "key of the demonstration; give your own"
 
@@ -48,6 +48,19 @@ def p6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.surrogates(p6_found(spark, sf_dir), KEY)
 
 
+def _owned_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = result_texts(read_table(spark, sf_dir, "transcript_lines"), keep=("project",))
+    return texts.withColumn("owner", F.coalesce("project", "session"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.credential_lines(_owned_results(spark, sf_dir))
+
+
+def p7_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.redacted_texts(_owned_results(spark, sf_dir))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode_texts(read_table(spark, sf_dir, "documents"))
 
@@ -78,7 +91,7 @@ def p10_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_conversations, p5_found, p6_found, p6_redacted, p6_surrogates, p8_ids, p9_found, p9_leaks, p10_found, p10_scores, p10_source_rates)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_conversations, p5_found, p6_found, p6_redacted, p6_surrogates, p7_found, p7_redacted, p8_ids, p9_found, p9_leaks, p10_found, p10_scores, p10_source_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
