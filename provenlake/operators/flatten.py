@@ -42,11 +42,11 @@ def values(v: Column) -> Column:
 
 
 def newest_documents(docs: DataFrame, key: str = "session_id", at: str = "saved_at", doc: str = "doc") -> DataFrame:
-    """(root, v): per key the newest save that parses to an object."""
+    """(root, doc, v): per key the newest save that parses to an object."""
     parsed = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("root"), F.col(at).alias("at"), F.col(doc).alias("doc"), decoded(F.try_parse_json(doc)).alias("v"))
     good = parsed.where(F.col("v").isNotNull() & is_kind(F.col("v"), "OBJECT"))
     newest = good.groupBy("root").agg(F.max_by("doc", F.struct("at", "doc")).alias("doc"))
-    return newest.select("root", decoded(F.try_parse_json("doc")).alias("v"))
+    return newest.select("root", "doc", decoded(F.try_parse_json("doc")).alias("v"))
 
 
 def facts_of(v: Column) -> Column:
