@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from provenlake.functions import grammar as G
 from provenlake.operators.drift import as_boolean
+from provenlake.session import written
 from provenlake.sources.transcripts import CONTENT_NAMES, ERROR_NAMES, content_text, field, first_present, string_of
 
 STRETCH = 4096
@@ -96,19 +97,21 @@ def graded_sentences(ev: DataFrame) -> DataFrame:
 
 
 def claims(ev: DataFrame) -> DataFrame:
-    return graded_sentences(ev).select("session", "seq", "idx", "pos", "sentence", "hint", F.explode("kinds").alias("kind"))
+    # explode_outer: plain explode lets the optimizer test the kinds in a filter of its own, and so grade twice
+    return graded_sentences(ev).select("session", "seq", "idx", "pos", "sentence", "hint", F.explode_outer("kinds").alias("kind")).where("kind is not null")
 
 
 def with_evidence(claims_: DataFrame, commands_: DataFrame) -> DataFrame:
     """Each claim with the last command (in order of results) called before its line."""
     c = commands_.select(
-        "session", F.explode("kinds").alias("kind"), "hints", F.col("use_seq").alias("seq"),
+        "session", F.explode_outer("kinds").alias("kind"), "hints", F.col("use_seq").alias("seq"),
         F.struct("result_seq", "result_idx", F.col("use_seq").alias("line"), "tool", "command", "ok", "piped", "filtered", "reported_pass", "reported_fail").alias("cmd"),
-    ).select("session", "kind", F.explode("hints").alias("hint"), "seq", "cmd")
+    ).where("kind is not null").select("session", "kind", F.explode("hints").alias("hint"), "seq", "cmd")
     keys = ["session", "kind", "hint"]
     rows = c.withColumn("claim", F.lit(None).cast("struct<idx:bigint,pos:int,sentence:string>")).unionByName(
         claims_.select(*keys, "seq", F.struct(F.col("idx").cast("bigint").alias("idx"), F.col("pos").alias("pos"), "sentence").alias("claim")), allowMissingColumns=True
     ).withColumn("_b", F.floor(F.col("seq") / STRETCH))
+    rows, _ = written(rows)  # read by both levels below; graded once
     inner = Window.partitionBy(*keys, "_b").orderBy("seq").rangeBetween(Window.unboundedPreceding, -1)
     outer = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     best = rows.groupBy(*keys, "_b").agg(F.max("cmd").alias("_m")).withColumn("_before", F.max("_m").over(outer)).drop("_m")
