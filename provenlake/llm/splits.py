@@ -139,10 +139,11 @@ def stratified_splits(tied: DataFrame, proportions: dict[str, float] | None = No
             edges.append(at)
             room[s] -= share * u["n"]
             need[s] = [a - share * b for a, b in zip(need[s], u["vec"])]
-        shares.append((u["mask"], float(u["n"]), *edges))
+        # patterns with few components would all favour the first split: each starts elsewhere on the circle
+        shares.append((u["mask"], float(u["n"]), len(shares) * 0.6180339887498949 % 1.0, *edges))
     spark = tied.sparkSession
     # both tables are bounded by the pattern count and by 1 / GIANT, whatever the data
-    table = spark.createDataFrame(shares or [(-1, 1.0, *[1.0] * len(splits))], "mask long, whole double, " + ", ".join(f"e{i} double" for i in range(len(splits))))
+    table = spark.createDataFrame(shares or [(-1, 1.0, 0.0, *[1.0] * len(splits))], "mask long, whole double, start double, " + ", ".join(f"e{i} double" for i in range(len(splits))))
     big = spark.createDataFrame(placed or [(-1, splits[0])], "component long, split string")
     # running totals in two levels: inside a hash bucket, and over the buckets
     small = groups.where(~giant).withColumn("mask", mask).withColumn("_h", F.xxhash64("component")).withColumn("_b", F.pmod("_h", F.lit(BUCKETS)))
@@ -151,6 +152,7 @@ def stratified_splits(tied: DataFrame, proportions: dict[str, float] | None = No
     outer = Window.partitionBy("mask").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("mask", "_b", F.coalesce(F.sum("bn").over(outer), F.lit(0)).alias("_from"))
     at = (F.col("_from") + F.coalesce(F.sum("n").over(inner), F.lit(0)) + F.col("n") / 2) / F.col("whole")
+    at = (at + F.col("start")) % 1.0
     pick = F.coalesce(*[F.when(F.col("at") < F.col(f"e{i}"), s) for i, s in enumerate(splits)], F.lit(splits[0]))
     spread = small.join(before, ["mask", "_b"]).join(F.broadcast(table), "mask").withColumn("at", at).select("component", pick.alias("split"))
     chosen = spread.unionByName(big.where("component <> -1"))
