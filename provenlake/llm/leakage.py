@@ -60,10 +60,17 @@ def fingerprints(hashes: np.ndarray, passage: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    sums = np.zeros((len(hashes) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, out=sums[1:], dtype=np.int32)
-    ones = sums[passage:] - sums[:-passage]
-    return np.packbits(ones * 2 > passage, axis=1, bitorder="little").view("<u8").reshape(-1)
+    # ones in every window, from sums of 1, 2, 4, ... words: a few byte-wise additions over the whole array
+    ones, at, width, part = np.zeros((n, 64), np.uint8 if passage < 256 else np.int32), 0, 1, bits.astype(np.uint8 if passage < 256 else np.int32)
+    while True:
+        if passage & width:
+            ones += part[at : at + n]
+            at += width
+        if width * 2 > passage:
+            break
+        part = part[:-width] + part[width:]
+        width *= 2
+    return np.packbits(ones > passage // 2, axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
 class ItemIndex:
