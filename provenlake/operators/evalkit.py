@@ -84,3 +84,29 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     p, z2 = k / d, z * z
     centre, half = (p + z2 / (2 * d)) / (1 + z2 / d), z * F.sqrt(p * (1 - p) / d + z2 / (4 * d * d)) / (1 + z2 / d)
     return F.round(F.greatest(F.lit(0.0), centre - half), 3), F.round(F.least(F.lit(1.0), centre + half), 3)
+
+
+def pool_sessions(ev: DataFrame, calls: int = 3, texts: int = 8) -> DataFrame:
+    """(session, bash_calls, texts) of sessions with enough of both to be worth labelling."""
+    n = ev.groupBy("session").agg(F.count_if((F.col("etype") == "use") & (F.col("tool") == "Bash")).alias("bash_calls"), F.count_if(F.col("etype") == "text").alias("texts"))
+    return n.where((F.col("bash_calls") >= calls) & (F.col("texts") >= texts))
+
+
+def without_seen(rows: DataFrame, seen: DataFrame, digest: str) -> DataFrame:
+    """Rows whose source digest no earlier corpus holds; rows without a digest stay."""
+    return rows.join(seen.select(digest).where(F.col(digest).isNotNull()).distinct(), digest, "left_anti")
+
+
+def hints(queries: DataFrame, lessons: DataFrame, shortest: int = 4) -> DataFrame:
+    """(query_id, lesson_id): lessons whose text contains a word of the query, as a substring.
+
+    ``queries`` has query_id, text; ``lessons`` lesson_id, text.  A containing word shares the
+    first ``shortest`` letters of the query's word at some place, so the candidates come from
+    an equi-join on grams; the containment itself is then checked on each candidate.
+    """
+    words = queries.select("query_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("word")).where(F.char_length("word") >= shortest)
+    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("w") - shortest + 1, F.lit(1))), lambda i: F.substr(F.col("w"), i, F.lit(shortest)))
+    indexed = lessons.select("lesson_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"\s+"))).alias("w")).where(F.char_length("w") >= shortest)
+    indexed = indexed.select("lesson_id", "w", F.explode(F.array_distinct(grams)).alias("gram"))
+    hit = words.withColumn("gram", F.substring("word", 1, shortest)).join(indexed, "gram").where(F.col("w").contains(F.col("word")))
+    return hit.select("query_id", "lesson_id").distinct()

@@ -198,6 +198,35 @@ def detection_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evalkit.rates(_rated(spark, sf_dir), "truth", "label")
 
 
+def pool_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evalkit.pool_sessions(_events(spark, sf_dir))
+
+
+def pool_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_compact(F.array(F.when(F.col("doc_id") % 2 == 0, "even"), F.when(F.col("n_chars") > 500, "long"), F.lit("all")))).alias("stratum"))
+    return evalkit.pool(d, ["doc_id"], "stratum").select("doc_id", F.array_join("strata", ",").alias("strata"))
+
+
+def stratified_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = read_table(spark, sf_dir, "documents").where("kind is not null").select("doc_id", "kind", "n_chars")
+    return evalkit.stratified(d, "kind", [F.col("n_chars").desc_nulls_last(), F.col("doc_id")], 8).select("doc_id", "kind")
+
+
+def unseen_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = read_table(spark, sf_dir, "manifest").select("entry_id", F.lower("source_sha256").alias("digest"))
+    return evalkit.without_seen(m, m.where("entry_id % 10 = 0"), "digest").select("entry_id")
+
+
+def lesson_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = read_table(spark, sf_dir, "documents").where("kind is not null").select(F.col("kind").alias("query_id"), F.regexp_replace("source", "-", " ").alias("text")).distinct()
+    return evalkit.hints(q, read_table(spark, sf_dir, "eval_items").select(F.col("item_id").alias("lesson_id"), "text"))
+
+
+def recorded_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = blocks(canonical_lines(read_table(spark, sf_dir, "transcript_lines"))).where("btype is null or btype not in ('thinking', 'redacted_thinking', 'image')")
+    return b.groupBy("session").agg(F.count("*").alias("blocks"), F.count_if(F.col("btype") == "tool_use").alias("calls"), F.count_if(F.col("btype") == "text").alias("texts"))
+
+
 def latest_file_of_client(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.latest_locks(read_table(spark, sf_dir, "transcript_files").where("client is not null"), "client", ["opened_at", "session"], "session")
 
@@ -208,6 +237,7 @@ def queries() -> dict:
         session_claims, session_rollup, session_scope, session_orphans, session_candidates, session_facts, document_chain_status,
         fact_truth_counts, fact_report, hash_chain_heads, hash_chain_tamper, conformance_facts, conformance_summary,
         checklist_profiles, redact_documents, redact_leaks, corpus_manifest, wide_net_by_kind, sample_random_stratum, confusion_matrix, detection_rates, latest_file_of_client,
+        pool_sessions, pool_strata, stratified_pick, unseen_sources, lesson_hints, recorded_blocks,
     )
     return {f.__name__: f for f in fs}
 
@@ -272,5 +302,13 @@ def oracle_sql() -> dict[str, str]:
         "detection_rates": f"""WITH {RATED_}, a AS (SELECT truth AS label, count(*) AS actual, count(*) FILTER (WHERE truth = label) AS hit FROM x GROUP BY truth), p AS (SELECT label, count(*) AS found FROM x GROUP BY 1),
  b AS (SELECT label, coalesce(actual, 0) AS actual, coalesce(found, 0) AS found, coalesce(hit, 0) AS hit FROM a FULL JOIN p USING (label))
  SELECT label, actual, found, hit, round(hit / nullif(actual, 0), 3) AS recall, round(hit / nullif(found, 0), 3) AS precision, round(greatest(0.0, {wil.format(s='-')}), 3) AS recall_low, round(least(1.0, {wil.format(s='+')}), 3) AS recall_high FROM b""",
+        "pool_sessions": "SELECT user_id::VARCHAR AS session, count(*) FILTER (WHERE event_type IN ('click', 'error', 'view')) AS bash_calls, count(*) FILTER (WHERE event_type IN ('purchase', 'signup')) AS texts FROM events GROUP BY 1 HAVING bash_calls >= 3 AND texts >= 8",
+        "pool_strata": "SELECT doc_id, 'all' || CASE WHEN doc_id % 2 = 0 THEN ',even' ELSE '' END || CASE WHEN coalesce(n_chars, 0) > 500 THEN ',long' ELSE '' END AS strata FROM documents",
+        "stratified_pick": "SELECT doc_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n_chars DESC NULLS LAST, doc_id) AS k FROM documents WHERE kind IS NOT NULL) WHERE k <= 8",
+        "unseen_sources": "SELECT entry_id FROM manifest m WHERE NOT EXISTS (SELECT 1 FROM manifest s WHERE s.entry_id % 10 = 0 AND lower(s.source_sha256) = lower(m.source_sha256))",
+        "lesson_hints": "WITH q AS (SELECT DISTINCT kind AS query_id, unnest(string_split(lower(source), '-')) AS word FROM documents WHERE kind IS NOT NULL) SELECT DISTINCT query_id, item_id AS lesson_id FROM q JOIN eval_items ON length(word) >= 4 AND contains(lower(text), word)",
+        "recorded_blocks": """WITH l AS (SELECT session, seq, min_by(raw, line_id) AS raw FROM transcript_lines WHERE json_valid(raw) AND trim(raw) <> '' AND session IS NOT NULL AND seq IS NOT NULL GROUP BY 1, 2),
+ b AS (SELECT session, unnest(CASE WHEN json_type(raw, '$.message.content') = 'ARRAY' THEN json_extract(raw, '$.message.content[*]') ELSE [] END) AS b FROM l WHERE json_type(raw) = 'OBJECT'), t AS (SELECT session, b->>'$.type' AS t FROM b)
+ SELECT session, count(*) AS blocks, count(*) FILTER (WHERE t = 'tool_use') AS calls, count(*) FILTER (WHERE t = 'text') AS texts FROM t WHERE t IS NULL OR t NOT IN ('thinking', 'redacted_thinking', 'image') GROUP BY 1""",
         "latest_file_of_client": "SELECT client, session FROM (SELECT *, row_number() OVER (PARTITION BY client ORDER BY opened_at DESC, session DESC) AS k FROM transcript_files WHERE client IS NOT NULL) WHERE k = 1",
     }
