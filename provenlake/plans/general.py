@@ -33,13 +33,37 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten.artifacts_table(read_table(spark, sf_dir, "session_docs")).unionByName(flatten.content_pieces(tool_results(spark, sf_dir)))
 
 
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatten.content_pieces(tool_results(spark, sf_dir))
+
+
 def p4_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten.facts_table(read_table(spark, sf_dir, "session_docs"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_union_schema, p2_tool_results, p4_found, p4_facts)}
+    return {f.__name__: f for f in (p2_found, p2_union_schema, p2_tool_results, p4_found, p4_pieces, p4_facts)}
+
+
+LINES = "l AS (SELECT session, seq, min_by(raw, line_id) AS raw FROM transcript_lines WHERE json_valid(raw) AND trim(raw) <> '' AND session IS NOT NULL AND seq IS NOT NULL GROUP BY 1, 2)"
+BLOCKS = f"""{LINES}, b AS (SELECT session, seq, unnest(json_extract(raw, '$.message.content[*]')) AS b, unnest(range(json_array_length(raw, '$.message.content')::BIGINT)) AS block FROM l
+ WHERE json_type(raw) = 'OBJECT' AND json_type(raw, '$.message.content') = 'ARRAY'), r AS (SELECT * FROM b WHERE json_type(b) = 'OBJECT' AND b->>'$.type' = 'tool_result')"""
+CONTENT = ", ".join(f"CASE WHEN json_type(b, '$.{n}') <> 'NULL' THEN json_extract(b, '$.{n}') END" for n in drift.CONTENT_NAMES)
+FIELDS = f"""k AS (SELECT session, unnest(json_keys(b)) AS name, b FROM r), f AS (SELECT session, name,
+ CASE json_type(b, '$."' || name || '"') WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN NULL ELSE 'number' END AS kind,
+ CASE WHEN name IN {drift.CONTENT_NAMES} THEN 'content' WHEN name IN {drift.ERROR_NAMES} THEN 'is_error' ELSE name END AS field FROM k WHERE name NOT IN ('type', 'tool_use_id')),
+ s AS (SELECT session, field, list_sort(list(DISTINCT name)) AS names, list_sort(list(DISTINCT kind)) AS kinds FROM f WHERE kind IS NOT NULL GROUP BY 1, 2)"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p2_found": f"""WITH {BLOCKS}, {FIELDS}, o AS (SELECT session, min(client) AS client, min(opened_at) AS opened_at FROM transcript_files WHERE client IS NOT NULL AND session IN (SELECT session FROM r) GROUP BY 1),
+ p AS (SELECT session, lag(session) OVER (PARTITION BY client ORDER BY opened_at, session) AS before FROM o),
+ x AS (SELECT p.session, a.field, a.names AS n0, a.kinds AS k0, NULL::VARCHAR[] AS n1, NULL::VARCHAR[] AS k1 FROM p JOIN s a ON a.session = p.before UNION ALL SELECT p.session, c.field, NULL, NULL, c.names, c.kinds FROM p JOIN s c ON c.session = p.session WHERE p.before IS NOT NULL),
+ y AS (SELECT session, field, any_value(n0) AS n0, any_value(k0) AS k0, any_value(n1) AS n1, any_value(k1) AS k1 FROM x GROUP BY 1, 2)
+ SELECT session, field, change_kind FROM (SELECT session, field, unnest([CASE WHEN n0 IS NULL THEN 'added' END, CASE WHEN n1 IS NULL THEN 'removed' END, CASE WHEN n0 <> n1 THEN 'renamed' END, CASE WHEN k0 <> k1 THEN 'retyped' END]) AS change_kind FROM y) WHERE change_kind IS NOT NULL""",
+        "p2_union_schema": f"""WITH {BLOCKS}, {FIELDS} SELECT field, array_to_string(list_sort(list_distinct(flatten(list(names)))), ',') AS names, array_to_string(list_sort(list_distinct(flatten(list(kinds)))), ',') AS kinds,
+ CASE WHEN field = 'is_error' THEN 'boolean' WHEN field = 'content' THEN 'string' WHEN list_distinct(flatten(list(kinds))) = ['boolean'] THEN 'boolean' WHEN list_distinct(flatten(list(kinds))) = ['number'] THEN 'double' ELSE 'string' END AS promoted, count(DISTINCT session) AS files FROM s GROUP BY field""",
+        "p4_pieces": f"""WITH {BLOCKS}, c AS (SELECT session, seq, block, coalesce({CONTENT}) AS c FROM r)
+ SELECT session AS root, seq::VARCHAR AS node, block AS item, unnest(range(json_array_length(c)::BIGINT)) AS piece, '' AS mode, '' AS digest FROM c WHERE json_type(c) = 'ARRAY'""",
+    }
