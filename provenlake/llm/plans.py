@@ -94,5 +94,28 @@ def queries() -> dict:
     return {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_conversations, p5_found, p6_found, p6_redacted, p6_surrogates, p7_found, p7_redacted, p8_ids, p9_found, p9_leaks, p10_found, p10_scores, p10_source_rates)}
 
 
+MESSAGES = """l AS (SELECT session, seq, min_by(raw, line_id) AS raw FROM transcript_lines WHERE json_valid(raw) AND trim(raw) <> '' AND session IS NOT NULL AND seq IS NOT NULL GROUP BY 1, 2),
+ m AS (SELECT session, seq, raw->>'$.type' AS role, raw FROM l WHERE json_type(raw) = 'OBJECT' AND raw->>'$.type' IN ('user', 'assistant')),
+ b AS (SELECT session, seq, b->>'$.type' AS t, b FROM (SELECT session, seq, unnest(json_extract(raw, '$.message.content[*]')) AS b FROM m WHERE json_type(raw, '$.message.content') = 'ARRAY') WHERE json_type(b) = 'OBJECT'),
+ a AS (SELECT session, seq, bool_or(t = 'text' AND json_type(b, '$.text') = 'VARCHAR' AND regexp_matches(b->>'$.text', '\\S')) AS txt, bool_or(t = 'tool_use') AS u, bool_or(t = 'tool_result') AS r FROM b GROUP BY 1, 2),
+ x AS (SELECT m.session, m.seq, role, coalesce(txt, FALSE) OR coalesce(json_type(raw, '$.message.content') = 'VARCHAR' AND regexp_matches(raw->>'$.message.content', '\\S'), FALSE) AS txt, coalesce(u, FALSE) AS u, coalesce(r, FALSE) AS r FROM m LEFT JOIN a USING (session, seq)),
+ n AS (SELECT *, sum((role = 'user' AND txt)::INT) OVER (PARTITION BY session ORDER BY seq) AS turn FROM x)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": f"""WITH {MESSAGES}, t AS (SELECT session, turn, bool_or(role = 'assistant' AND (txt OR u)) AS reply FROM n WHERE turn > 0 GROUP BY 1, 2),
+ i AS (SELECT session, coalesce(CASE t WHEN 'tool_use' THEN b->>'$.id' ELSE b->>'$.tool_use_id' END, '~') AS id, count(*) FILTER (WHERE t = 'tool_use') AS u, count(*) FILTER (WHERE t = 'tool_result') AS r FROM b WHERE t IN ('tool_use', 'tool_result') GROUP BY 1, 2),
+ f AS (SELECT DISTINCT session FROM transcript_files WHERE session IS NOT NULL), o AS (SELECT session FROM x GROUP BY 1 HAVING bool_or(txt OR u OR r)),
+ d AS (SELECT session, 'empty' AS defect FROM f WHERE session NOT IN (SELECT session FROM o) UNION ALL SELECT session, 'no_reply' FROM t WHERE NOT reply UNION ALL SELECT session, 'open_call' FROM i WHERE u > 0 AND r = 0
+  UNION ALL SELECT session, 'stray_result' FROM i WHERE r > 0 AND u = 0 UNION ALL SELECT session, 'reused_id' FROM i WHERE u > 1)
+ SELECT DISTINCT session, defect FROM d WHERE session IN (SELECT session FROM f)""",
+        "p1_found": """WITH RECURSIVE c AS (SELECT DISTINCT ON (entry_id) entry_id, regexp_replace(regexp_extract(trim(lower(file)), '([^/\\\\]*)$', 1), '(\\.[a-z][a-z0-9]*)+$', '') AS f, trim(lower(source_sha256)) AS d,
+ regexp_replace(lower(operator), '[^\\pL\\pN]+', '', 'g') AS o, regexp_replace(lower(split), '[^\\pL\\pN]+', '', 'g') AS s FROM manifest WHERE entry_id IS NOT NULL),
+ m AS (SELECT entry_id, CASE WHEN f NOT IN ('', 'unknown', 'none', 'null') THEN 'f' || f END AS f, CASE WHEN regexp_matches(d, '[a-z0-9]') AND d NOT IN ('n/a', 'unknown', 'none', 'null') THEN 'd' || d END AS d, CASE WHEN o NOT IN ('', 'unknown', 'na', 'none', 'null') THEN 'o' || o END AS o,
+  CASE WHEN s IN ('', 'unknown', 'na', 'none', 'null') THEN NULL WHEN s = 'training' THEN 'train' WHEN s IN ('validation', 'val', 'valid') THEN 'dev' WHEN s = 'testing' THEN 'test' ELSE s END AS s FROM c),
+ k AS (SELECT entry_id, unnest([f, d, o]) AS k FROM m), e AS (SELECT DISTINCT a.entry_id AS u, b.entry_id AS v FROM k a JOIN k b ON a.k = b.k),
+ g AS (SELECT entry_id AS u, entry_id AS v FROM m UNION SELECT g.u, e.v FROM g JOIN e ON g.v = e.u),
+ q AS (SELECT u FROM g JOIN m ON m.entry_id = g.v GROUP BY u HAVING count(DISTINCT s) > 1)
+ SELECT u AS entry_id FROM q""",
+    }
