@@ -31,6 +31,7 @@ import unicodedata
 from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -312,9 +313,15 @@ def surrogates(found: DataFrame, key: str) -> DataFrame:
     ``value`` is the canonical spelling; values whose surrogates collide are re-keyed
     with the next attempt until none does.
     """
-    canon = F.udf(canonical, "string")
+    @F.pandas_udf("string")
+    def canon(kinds: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([canonical(k, v) for k, v in zip(kinds, values)])
+
+    @F.pandas_udf("string")
+    def make(kinds: pd.Series, values: pd.Series, attempts: pd.Series) -> pd.Series:
+        return pd.Series([surrogate(k, v, key, int(a)) for k, v, a in zip(kinds, values, attempts)])
+
     values = found.groupBy("kind", canon("kind", "found_text").alias("value")).agg(F.min("found_text").alias("shape"))
-    make = F.udf(lambda k, v, a: surrogate(k, v, key, a), "string")
     table, _ = written(values.withColumn("attempt", F.lit(0)).withColumn("surrogate", make("kind", "shape", "attempt")))
     for _ in range(16):
         w = Window.partitionBy("kind", "surrogate").orderBy("value")
