@@ -48,7 +48,6 @@ DISCOUNT = 0.75
 THRESHOLD = 1.2  # mean gain per word, in nats
 TOTAL = 6.0  # gain of the whole passage, in nats
 SHORTEST = 3
-TELLING = 0.2  # share of toxic text from which a word pair makes a sentence worth scoring
 PRIOR = 2.0
 SUSPECT = 0.55  # share of toxic documents from which a word pair speaks for a category
 EVIDENCE = 1.2  # sum of the excess over a passage from which it starts in a category
@@ -243,12 +242,6 @@ class Models:
                 self.models[k].add(s, max(2 if s in seeds else 1, times[s]))
             for m in self.models.values():
                 m.fit()
-            toxic, plain = Counter(), Counter()
-            for c, m in self.models.items():
-                for (_, b, w), n in m.tri.items():
-                    (plain if c == "fine" else toxic)[b, w] += n
-            # word pairs that speak for a category: a sentence without any is not scored further
-            self.pairs = {p for p, n in toxic.items() if n >= TELLING * (n + plain[p])}
             if r < ROUNDS - 1:
                 # sentences that look like another category's move there; seeds stay
                 for s, k in role.items():
@@ -259,12 +252,14 @@ class Models:
         """(category, total, mean) of the category with the greatest gain over ordinary text, if any."""
         w = ["<s>", "<s>", *t]
         at = range(2, len(w))
-        if not any((w[i - 1], w[i]) in self.pairs for i in at):
-            return None, 0.0, 0.0
+        best: tuple[str | None, float, float] = (None, 0.0, 0.0)
+        # a category that has seen no word of the sentence gains nowhere
+        seen = [k for k in CATEGORIES if not self.models[k].c1.keys().isdisjoint(t)]
+        if not seen:
+            return best
         fine = self.models["fine"]
         base = [math.log(fine.p(w[i - 2], w[i - 1], w[i])) for i in at]
-        best: tuple[str | None, float, float] = (None, 0.0, 0.0)
-        for k in CATEGORIES:
+        for k in seen:
             m = self.models[k]
             gains = [math.log(m.p(w[i - 2], w[i - 1], w[i])) - base[i - 2] for i in at]
             # a word the category has never seen speaks for nothing

@@ -216,3 +216,11 @@ def test_toxicity_held_out_accuracy(spark):
     assert len(got & want) >= 0.9 * len(want) and len(got - want) <= 2
     empty = toxicity.fit(docs.limit(0), labels.limit(0))
     assert toxicity.score_documents(docs.limit(0), empty).count() == 0
+
+
+def test_toxicity_scores_insults_in_ordinary_word_pairs():
+    m = toxicity.Models([("fine", f"You are a friend of the {w}.") for w in ("cache", "queue", "index", "parser", "tool", "shell")] * 10)
+    # every pair of words is common in ordinary text or was never seen in a toxic one
+    k, total, mean = m.judge(toxicity.tokens_of("You are a pathetic useless moron."))
+    assert k == "abusive" and total > 0 and mean > 0
+    assert m.judge(toxicity.tokens_of("The parser of the shell.")) == (None, 0.0, 0.0)
