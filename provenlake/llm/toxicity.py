@@ -5,7 +5,9 @@ hateful, sexual) has an interpolated trigram model; the lowest order is shared,
 rare expressions back off to counts pooled over all classes.  A passage is judged by
 its length-normalised log-likelihood under a category against that under ordinary
 text; the passage is the stretch of a text with the greatest gain, so an abusive
-sentence counts however much ordinary text stands around it.
+sentence counts however much ordinary text stands around it.  What is left of a
+sentence beside its passage is judged again, and a passage that fits a further category
+nearly as well is of both, so a document, and a sentence, can have several categories.
 
 Labels are of whole documents, so training is multi-instance: sentences of labelled
 documents are cut to the stretches whose word pairs stand almost only in documents
@@ -13,7 +15,7 @@ labelled toxic, which start in the category they fit best, and are re-assigned b
 ``PER_LABEL`` labelled documents of each label, taken in hash order (all labelled
 documents where there are fewer), as many without a label as background, and the few
 ``SEEDS`` below.  Every document is
-scored, in whole, in one scan without a shuffle; the models are bounded by the
+scored in all categories, in whole, in one scan without a shuffle; the models are bounded by the
 sample, so their broadcast is too.
 
 Words are normalised before counting: look-alike letters, letters set apart by
@@ -35,7 +37,7 @@ from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenlake.llm.tokenize import bounded
@@ -48,6 +50,7 @@ DISCOUNT = 0.75
 THRESHOLD = 1.2  # mean gain per word, in nats
 TOTAL = 6.0  # gain of the whole passage, in nats
 SHORTEST = 3
+ALSO = 0.5  # share of a passage's gain from which it is of a further category too; words in common alone give up to about 0.25
 PRIOR = 2.0
 SUSPECT = 0.55  # share of toxic documents from which a word pair speaks for a category
 EVIDENCE = 1.2  # sum of the excess over a passage from which it starts in a category
@@ -159,18 +162,17 @@ class KneserNey:
         return p
 
 
-def best_stretch(gains: list[float]) -> tuple[float, float]:
-    """(total, mean) of the stretch with the greatest total gain."""
-    best = total = 0.0
-    size = n = 0
-    for g in gains:
+def best_part(gains: list[float]) -> tuple[float, int, int]:
+    """(total, from, to) of the stretch of at least SHORTEST words with the greatest total gain."""
+    best, at = 0.0, (0, 0)
+    total, start = 0.0, 0
+    for i, g in enumerate(gains):
         if total <= 0:
-            total, n = 0.0, 0
+            total, start = 0.0, i
         total += g
-        n += 1
-        if total > best and n >= SHORTEST:
-            best, size = total, n
-    return best, best / size if size else 0.0
+        if total > best and i + 1 - start >= SHORTEST:
+            best, at = total, (start, i + 1)
+    return best, *at
 
 
 def widest(gains: list[float]) -> tuple[float, int, int]:
@@ -248,35 +250,66 @@ class Models:
                     if s not in seeds and k != "fine":
                         role[s] = self.judge(s)[0] or "fine"
 
-    def judge(self, t: tuple[str, ...] | list[str]) -> tuple[str | None, float, float]:
-        """(category, total, mean) of the category with the greatest gain over ordinary text, if any."""
+    def gains(self, t: tuple[str, ...] | list[str]) -> dict[str, list[float]]:
+        """Gain of each word over ordinary text, of every category that has seen one of the words; the others gain nowhere."""
         w = ["<s>", "<s>", *t]
         at = range(2, len(w))
-        best: tuple[str | None, float, float] = (None, 0.0, 0.0)
-        # a category that has seen no word of the sentence gains nowhere
         seen = [k for k in CATEGORIES if not self.models[k].c1.keys().isdisjoint(t)]
         if not seen:
-            return best
+            return {}
         fine = self.models["fine"]
         base = [math.log(fine.p(w[i - 2], w[i - 1], w[i])) for i in at]
+        out = {}
         for k in seen:
             m = self.models[k]
             gains = [math.log(m.p(w[i - 2], w[i - 1], w[i])) - base[i - 2] for i in at]
             # a word the category has never seen speaks for nothing
-            gains = [g if w[i] in m.c1 else min(g, -0.5) for i, g in zip(at, gains)]
-            total, mean = best_stretch(gains)
+            out[k] = [g if w[i] in m.c1 else min(g, -0.5) for i, g in zip(at, gains)]
+        return out
+
+    def judge(self, t: tuple[str, ...] | list[str]) -> tuple[str | None, float, float]:
+        """(category, total, mean) of the category with the greatest gain over ordinary text, if any."""
+        best: tuple[str | None, float, float] = (None, 0.0, 0.0)
+        for k, gains in self.gains(t).items():
+            total, i, j = best_part(gains)
             if total > best[1]:
-                best = (k, total, mean)
+                best = (k, total, total / (j - i))
         return best
 
-    def score(self, text: str | None) -> dict[str, tuple[float, float]]:
-        """Per category (total, mean) gain of the best passage."""
+    def score(self, text: str | None) -> dict[str, tuple[float, float, list[tuple[float, float]]]]:
+        """Per category the (total, mean) of its greatest gain, and the passages of its own that no other surpasses in both."""
         best = {k: (0.0, 0.0) for k in CATEGORIES}
+        own: dict[str, set] = {k: set() for k in CATEGORIES}
         for sent in sentences(text) if text else ():
-            k, total, mean = self.judge(tokens_of(sent))
-            if k and total > best[k][0] and mean >= THRESHOLD:
-                best[k] = (total, mean)
-        return best
+            gains = self.gains(tokens_of(sent))
+            for k, g in gains.items():
+                total, i, j = best_part(g)
+                if total > best[k][0]:
+                    best[k] = (total, total / (j - i))
+            for k, total, mean in passages(gains):
+                own[k].add((total, mean))
+        fronts: dict[str, list] = {k: [] for k in CATEGORIES}
+        for k, found in own.items():
+            for x in sorted(found, reverse=True):
+                if not fronts[k] or x[1] > fronts[k][-1][1]:
+                    fronts[k].append(x)
+        return {k: (*best[k], fronts[k]) for k in CATEGORIES}
+
+
+def passages(gains: dict[str, list[float]]) -> Iterator[tuple[str, float, float]]:
+    """(category, total, mean) of the disjoint stretches of a sentence, each of the category that gains most and of every other that gains at least ALSO of it there."""
+    parts = [(0, len(g)) for g in list(gains.values())[:1]]
+    while parts:
+        a, z = parts.pop()
+        total, i, j, k = max(((*best_part(g[a:z]), k) for k, g in gains.items()), key=lambda x: x[0])
+        if total <= 0:
+            continue
+        i, j = a + i, a + j
+        yield k, total, total / (j - i)
+        for other, g in gains.items():
+            if other != k and (t := sum(g[i:j])) >= ALSO * total:
+                yield other, t, t / (j - i)
+        parts += [(x, y) for x, y in ((a, i), (j, z)) if y - x >= SHORTEST]
 
 
 def majority_labels(labels: DataFrame) -> DataFrame:
@@ -297,9 +330,14 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Model
 
 
 def score_documents(docs: DataFrame, models: Models) -> DataFrame:
-    """(doc_id, source, abusive, hateful, sexual, then the same with _mean): scores of every document."""
+    """(doc_id, source, abusive, hateful, sexual, then the same with _mean, then with _passages): scores of every document.
+
+    The first two are of the category's greatest gain, however small.  Passages are the stretches that are of the category
+    itself, as (total, mean), all that no other surpasses in both; any pair of thresholds can be applied to them."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
     names = [*CATEGORIES, *(f"{k}_mean" for k in CATEGORIES)]
+    lists = [f"{k}_passages" for k in CATEGORIES]
+    passage = pa.list_(pa.struct([("total", pa.float64()), ("mean", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -307,18 +345,24 @@ def score_documents(docs: DataFrame, models: Models) -> DataFrame:
             for b in bounded(whole, 2):
                 s = [m.score(t) for t in b.column(2).to_pylist()]
                 cols = [pa.array([x[k][j] for x in s], pa.float64()) for j in (0, 1) for k in CATEGORIES]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "source", *names])
+                cols += [pa.array([[{"total": a, "mean": z} for a, z in x[k][2]] for x in s], passage) for k in CATEGORIES]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "source", *names, *lists])
+
+    kinds = [*(f"{n} double" for n in names), *(f"{n} array<struct<total double, mean double>>" for n in lists)]
+    return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, " + ", ".join(kinds))
+
 
-    return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, " + ", ".join(f"{n} double" for n in names))
+def hits(category: str) -> Column:
+    """Whether a document holds a passage of the category."""
+    return F.exists(f"{category}_passages", lambda p: (p["total"] >= TOTAL) & (p["mean"] >= THRESHOLD))
 
 
 def flagged(scores: DataFrame) -> DataFrame:
     """(doc_id, category) of every document that holds such a passage."""
-    listed = F.array(*[F.when((F.col(k) >= TOTAL) & (F.col(f"{k}_mean") >= THRESHOLD), k) for k in CATEGORIES])
+    listed = F.array(*[F.when(hits(k), k) for k in CATEGORIES])
     return scores.select("doc_id", F.explode(F.filter(listed, lambda c: c.isNotNull())).alias("category")).distinct()
 
 
 def source_rates(scores: DataFrame) -> DataFrame:
     """Per source: documents, and the share with each category."""
-    hit = {k: (F.col(k) >= TOTAL) & (F.col(f"{k}_mean") >= THRESHOLD) for k in CATEGORIES}
-    return scores.groupBy("source").agg(F.count("*").alias("documents"), *[F.avg(c.cast("double")).alias(f"{k}_rate") for k, c in hit.items()])
+    return scores.groupBy("source").agg(F.count("*").alias("documents"), *[F.avg(hits(k).cast("double")).alias(f"{k}_rate") for k in CATEGORIES])

@@ -224,3 +224,15 @@ def test_toxicity_scores_insults_in_ordinary_word_pairs():
     k, total, mean = m.judge(toxicity.tokens_of("You are a pathetic useless moron."))
     assert k == "abusive" and total > 0 and mean > 0
     assert m.judge(toxicity.tokens_of("The parser of the shell.")) == (None, 0.0, 0.0)
+
+
+def test_toxicity_keeps_every_category_and_small_scores(spark):
+    m = toxicity.Models([])
+    both = "You useless pathetic moron, immigrants are vermin and should be driven out"
+    rows = [(1, both, "a"), (2, "You are a worthless idiot and everyone knows it", "a"), (3, "We know where the cache is", "b"), (4, None, "b")]
+    scores = toxicity.score_documents(spark.createDataFrame(rows, "doc_id long, text string, source string"), m)
+    assert {tuple(r) for r in toxicity.flagged(scores).collect()} == {(1, "abusive"), (1, "hateful"), (2, "abusive")}
+    got = {r["doc_id"]: r for r in scores.collect()}
+    assert 0 < got[3]["abusive"] < toxicity.TOTAL and got[3]["abusive_mean"] > 0 and got[4]["abusive"] == 0.0 and got[4]["abusive_passages"] == []
+    rates = {r["source"]: (r["documents"], r["abusive_rate"], r["hateful_rate"]) for r in toxicity.source_rates(scores).collect()}
+    assert rates == {"a": (2, 1.0, 0.5), "b": (2, 0.0, 0.0)}
