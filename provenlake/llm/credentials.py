@@ -55,7 +55,11 @@ FORMATS = re.compile(
 )
 BEGIN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
 END = re.compile(r"-----END (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-PEM = re.compile(r"-----BEGIN [A-Z0-9 ]+-----[\s\S]*?(?:-----END [A-Z0-9 ]+-----|\Z)")
+OPENED = re.compile(r"-----BEGIN [A-Z0-9 ]+-----")
+CLOSED = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]+-----")
+# a line of a block, also numbered, quoted, indented or in a diff; lines end with a newline or its escape
+BODY_LINE = re.compile(r"((?:[^\n\\]|\\(?!r?\\?n))*+)(\\r\\n|\\n|\n|\Z)")
+BODY = re.compile(r"[ \t]*(?:\d+[\t:|→])?[\s\"'`+\-,;()|>#*\\]*+(?:([A-Za-z0-9+/]*+={0,2}|=[A-Za-z0-9+/]{4})|[A-Z][A-Za-z]*(?:-[A-Z][A-Za-z]*)*: .*)[\s\"'`+,;()\\]*")
 # a quoted string, also in pieces joined over lines (with printed line numbers or diff signs between)
 JOINT = r"[ \t]*(?:\+|\.|\\)?[ \t]*\n(?:[ \t]*\d+\t)?[+-]?[ \t]*(?:\+[ \t]*)?"
 PIECES = re.compile(rf"(['\"])([^'\"\s`]{{4,}})\1(?:{JOINT}\1([^'\"\s`]{{4,}})\1)+")
@@ -66,7 +70,7 @@ NAME_BEFORE = re.compile(r"[\w.\-\[\]]*$")
 SECRET_NAME = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret|(?:private|signing|encryption|master|account|secret|storage|license)[_-]?key|credentials?|dsn|jwt|sid|key)"
 ASSIGNED = re.compile(
     rf"((?i:{SECRET_NAME}))[\"'`\]]{{0,2}}[ \t]*(?::=|=>|=|:)[ \t]*"
-    r"(?:[fbru]{0,2}(\"\"\"|'''|[\"'`])((?:(?!\2)[^\n\\]|\\.){1,400})\2|([^\s\"'`,;<>(){}\[\]]{1,400}))"
+    r"(?:[fbru]{0,2}(\"\"\"|'''|[\"'`])((?:(?!\2)[^\n\\]|\\.)++)\2|([^\s\"'`,;<>(){}\[\]]++))"
 )
 TAGGED = re.compile(rf"<(?i:[\w.:-]*{SECRET_NAME})(?: [^<>]*)?>([^<>\n]+)</|(?i:(?:key|name)=[\"'][\w.:-]*{SECRET_NAME}[\"'][ \t]+value=)[\"']([^\"'\n]+)[\"']")
 IN_URL = re.compile(r"[a-zA-Z][a-zA-Z0-9+.-]*://[^\s/@:'\"<>]*:([^\s/@'\"<>]+)@")
@@ -86,6 +90,7 @@ SAID = re.compile(
     r"|(?i:\b(?:bearer)[ \t]+)([A-Za-z0-9_\-.+/=]{16,})"
 )
 ENCODED = re.compile(r"(?m)(?i:value|data|b64|base64|encoded|auth|dockerconfigjson|secret|password|token|key)[\"']?[ \t]*[:=][ \t]*[\"']?((?:[A-Za-z0-9+/]{4}){2,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?)(?=[\"']?[ \t]*(?:#.*)?$)")
+AUTH = re.compile(r"\"auth\"\s*:\s*\"[A-Za-z0-9+/]{8,}={0,2}\"")
 ROW_OF_SECRETS = re.compile(r"(?i)\binsert[ \t]+into[ \t]+[\w.\"`]*(?:client|token|secret|cred|key|user|account|auth)\w*[\"`]?[^\n]*")
 QUOTED = re.compile(r"['\"`]([A-Za-z0-9+/=_\-.]{20,200})['\"`]")
 LEFT_NAME = re.compile(r"([\w.\-]+)[\"']?[ \t]*(?::=|=>|=|:|\()[ \t(]*$")
@@ -140,7 +145,34 @@ def decodes(v: str) -> str | None:
         raw = base64.b64decode(v, validate=True)
     except (binascii.Error, ValueError):
         return None
-    return raw.decode() if 6 <= len(raw) <= 200 and all(32 < c < 127 for c in raw) else None
+    return raw.decode() if len(raw) >= 6 and all(32 <= c < 127 or c in b"\t\r\n" for c in raw) else None
+
+
+def encodes(d: str) -> bool:
+    """Whether a decoded text is a credential or, as a key file or a configuration, holds one."""
+    if len(d) <= 200 and not any(c.isspace() for c in d):
+        return plausible(d, "password", True)
+    return any(s for _, _, s in literals(d)) or AUTH.search(d) is not None or (d[0] not in "{[<" and plausible(d, "password", True))
+
+
+def block_at(text: str, start: int) -> tuple[int, bool]:
+    """(end, whether it holds a key) of the block that begins here; an open one ends before the first line that is no Base64."""
+    at = OPENED.match(text, start).end()
+    m = CLOSED.search(text, at)
+    if m and m[1] == "END":
+        lines = [x[1] for x in BODY_LINE.finditer(text, at, m.start()) if x[1].strip(" \t\r\"'`+-\\,;")]
+        if 2 * sum(BODY.fullmatch(x) is not None for x in lines) >= len(lines) > 0:
+            return m.end(), True
+    end, key = at, False
+    for x in BODY_LINE.finditer(text, at):
+        b = BODY.fullmatch(x[1])
+        if not b or b[1] and len(b[1]) < 16:
+            break
+        if b[1]:
+            end, key = x.end(1), True
+        if x.end() == len(text):
+            break
+    return end, key
 
 
 def literals(text: str) -> list[tuple[int, str, bool]]:
@@ -148,10 +180,13 @@ def literals(text: str) -> list[tuple[int, str, bool]]:
     out: dict[int, tuple[str, bool]] = {}
     blocked = []
     if "-----BEGIN" in text:
-        for m in PEM.finditer(text):
-            blocked.append((m.start(), m.end()))
-            if BEGIN.match(text, m.start()):
-                out[m.start()] = (m[0], True)
+        for m in OPENED.finditer(text):
+            if blocked and m.start() < blocked[-1][1]:
+                continue
+            end, key = block_at(text, m.start())
+            blocked.append((m.start(), end))
+            if key and BEGIN.match(text, m.start()):
+                out[m.start()] = (text[m.start() : end], True)
 
     def free(i: int) -> bool:
         return not any(a <= i < z for a, z in blocked)
@@ -176,6 +211,8 @@ def literals(text: str) -> list[tuple[int, str, bool]]:
         v, at, quoted = (m[3], m.start(3), True) if m[3] is not None else (m[4], m.start(4), False)
         if not quoted:
             v = v.rstrip(".:")
+        if v.startswith("LS0t") and (d := decodes(v)) and "-----BEGIN" in d and not BEGIN.search(d):
+            continue  # an encoded certificate or public key
         name = NAME_BEFORE.search(text, max(0, m.start() - 60), m.start())[0] + m[1]
         if plausible(v, name, quoted) and text[m.start() - len(name) + len(m[1]) - 2 : m.start() - len(name) + len(m[1])] != "${":
             add(at, v)
@@ -198,7 +235,7 @@ def literals(text: str) -> list[tuple[int, str, bool]]:
                 add(m.start(k), v)
     for m in ENCODED.finditer(text) if named or "value" in text or "data" in text else ():
         d = decodes(m[1])
-        if d and plausible(d, "password", True):
+        if d and encodes(d):
             add(m.start(1), m[1])
     for row in ROW_OF_SECRETS.finditer(text) if "insert" in text or "INSERT" in text else ():
         for m in QUOTED.finditer(text, row.start(), row.end()):
