@@ -2,16 +2,17 @@
 
 Method.  1. Literals are indexed corpus-wide: every value that stands where a
 credential would (known token formats, assignments to secret names, URLs, command
-lines, headers, encoded values, private key blocks) and every structured run that
-could be one without its context.  2. Values shared by more than ``OWNERS`` owners
+lines, headers, encoded values, private key blocks).  2. Values shared by more than ``OWNERS`` owners
 are placeholders and are suppressed; rare values from a credential's place are
 confirmed.  3. Every text that holds a confirmed value anywhere, also without
 context, is re-scanned with an Aho-Corasick automaton of its confirmed values, which
 gives all places; redaction replaces exactly those stretches.
 
 At scale: the index is (owner, value) pairs, counted with partial aggregation; the
-link from confirmed values to texts is an equi-join on the value's 128-bit digest,
-never a broadcast; each automaton holds only the values of one batch of texts.
+link from confirmed values to texts is an equi-join on the hash of an anchor, a run of
+code points of the value that is looked for at every place of every text; only a bit
+for each anchor is broadcast, at most ``MOST_BITS``, so a text without any hit is not
+joined; each automaton holds only the values of one batch of texts.
 
 Defined results: null and empty texts hold nothing; empty values, references
 ($X, ${X}, env:, vault paths, function calls, secret names), prompts, placeholders,
@@ -31,6 +32,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +42,9 @@ from provenlake.session import written
 
 OWNERS = 8  # a value that more owners have is a placeholder
 SHORTEST = 6
+GRAMS = (4, 6, 12)  # lengths of the runs of code points by which values are looked for; no indexed value is shorter
+GRAM_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+MOST_BITS = 1 << 27  # 16 MB
 
 # Public formats of issued tokens.
 FORMATS = re.compile(
@@ -94,7 +99,6 @@ AUTH = re.compile(r"\"auth\"\s*:\s*\"[A-Za-z0-9+/]{8,}={0,2}\"")
 ROW_OF_SECRETS = re.compile(r"(?i)\binsert[ \t]+into[ \t]+[\w.\"`]*(?:client|token|secret|cred|key|user|account|auth)\w*[\"`]?[^\n]*")
 QUOTED = re.compile(r"['\"`]([A-Za-z0-9+/=_\-.]{20,200})['\"`]")
 LEFT_NAME = re.compile(r"([\w.\-]+)[\"']?[ \t]*(?::=|=>|=|:|\()[ \t(]*$")
-RUN = re.compile(r"[A-Za-z0-9_\-+/=.$!%*?#^&~]{8,200}")
 DIGEST_NAME = re.compile(r"(?i)(?:sha\d*|md5|digest|checksum|hash|etag|integrity|commit|rev(?:ision)?|uuid|guid|fingerprint|signature|nonce|salt|version|public|pub|cert|(?:^|[_.\-])id|ref|path|file|url|uri|name|host|hint|policy|label)$")
 UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 REFERENCE = re.compile(
@@ -244,56 +248,99 @@ def literals(text: str) -> list[tuple[int, str, bool]]:
     return [(i, v, s) for i, (v, s) in sorted(out.items())]
 
 
-def runs(text: str) -> set[str]:
-    """Structured runs that may be a confirmed value standing without its context."""
-    return {r for r in RUN.findall(text) if not r.isalpha() and not r.isdigit() and any(c.isdigit() for c in r)}
-
-
 def digest_of(value: str) -> bytes:
     return hashlib.blake2b(value.encode("utf-8", "replace"), digest_size=16).digest()
 
 
 def index_literals(texts: DataFrame) -> DataFrame:
-    """(session, seq, block, owner, value digest, sure) of all literals, one row per text and value."""
+    """(owner, value digest, value) of all literals in a credential's place, one row per text and value."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for b in bounded(whole, 4):
-                pick, digest, value, sure = [], [], [], []
-                for i, t in enumerate(b.column(4).to_pylist()):
-                    if not t:
-                        continue
-                    own = {v for _, v, s in literals(t) if s}
-                    for v in own:
-                        pick.append(i)
-                        digest.append(digest_of(v))
-                        value.append(v)
-                        sure.append(True)
-                    for v in runs(t) - own:
-                        pick.append(i)
-                        digest.append(digest_of(v))
-                        value.append(None)
-                        sure.append(False)
-                at = pa.array(pick, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [*(b.column(k).take(at) for k in range(4)), pa.array(digest, pa.binary()), pa.array(value, pa.string()), pa.array(sure, pa.bool_())],
-                    names=["session", "seq", "block", "owner", "digest", "value", "sure"],
-                )
+            for b in bounded(whole, 1):
+                pick, value = [], []
+                for i, t in enumerate(b.column(1).to_pylist()):
+                    own = {v for _, v, s in literals(t) if s} if t else set()
+                    pick += [i] * len(own)
+                    value += own
+                digest = [digest_of(v) for v in value]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(pick, pa.int64())), pa.array(digest, pa.binary()), pa.array(value, pa.string())], names=["owner", "digest", "value"])
 
-    return texts.select("session", "seq", "block", "owner", "text").mapInArrow(run, "session string, seq long, block long, owner string, digest binary, value string, sure boolean")
+    return texts.select("owner", "text").mapInArrow(run, "owner string, digest binary, value string")
 
 
 def confirmed(index: DataFrame, owners: int = OWNERS) -> DataFrame:
     """(digest, value) of the values that stand in a credential's place and that at most so many owners have."""
-    pairs = index.where("sure").groupBy("digest", "owner").agg(F.min("value").alias("value"))
+    pairs = index.groupBy("digest", "owner").agg(F.min("value").alias("value"))
     return pairs.groupBy("digest").agg(F.count("*").alias("n"), F.min("value").alias("value")).where(F.col("n") <= owners).select("digest", "value")
 
 
+def gram_hashes(text: str, k: int) -> np.ndarray:
+    """Hash of each run of k code points, by its place."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = len(c) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    h = np.zeros(n, np.uint64)
+    for j in range(k):
+        h = (h + c[j : j + n]) * GRAM_FACTOR
+    return (h ^ (h >> np.uint64(29))) * GRAM_FACTOR + np.uint64(k)
+
+
+def anchor_of(value: str) -> int:
+    """Hash of the run of code points by which a value is looked for: its end, of a key block the middle."""
+    k = max(g for g in GRAMS if g <= len(value))
+    end = (len(value) + k) // 2 if "\n" in value else len(value)
+    return int(gram_hashes(value[end - k : end], k)[0].astype(np.int64))
+
+
+def anchored(known: DataFrame) -> DataFrame:
+    """(gram, value): the confirmed values with their anchors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(map(anchor_of, b.column(0).to_pylist()), pa.int64()), b.column(0)], names=["gram", "value"])
+
+    return known.select("value").mapInArrow(run, "gram long, value string")
+
+
+def anchors_in(texts: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(session, seq, block, gram): every run of code points of every text that may be an anchor; bits has a bit for each anchor's hash."""
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b_ = shared.value
+        mask = np.uint64(8 * len(b_) - 1)
+        for whole in batches:
+            for b in bounded(whole, 3):
+                pick, grams = [], []
+                for i, t in enumerate(b.column(3).to_pylist()):
+                    for k in GRAMS if t else ():
+                        h = gram_hashes(t, k)
+                        at = h & mask
+                        g = np.unique(h[(b_[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1])
+                        pick.append(np.full(len(g), i))
+                        grams.append(g.view(np.int64))
+                at = pa.array(np.concatenate(pick) if pick else [], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in range(3)), pa.array(np.concatenate(grams) if grams else [], pa.int64())], names=["session", "seq", "block", "gram"])
+
+    return texts.select("session", "seq", "block", "text").mapInArrow(run, "session string, seq long, block long, gram long")
+
+
+def anchor_bits(known: DataFrame) -> np.ndarray:
+    """A bit for each anchor's hash, at least 64 bits an anchor up to MOST_BITS."""
+    n = known.count()
+    size = min(MOST_BITS, 1 << max(16, (64 * n).bit_length()))
+    bits = np.zeros(size // 8, np.uint8)
+    places = known.select(F.col("gram").bitwiseAND(size - 1).cast("int").alias("p")).distinct().toArrow().column(0).to_numpy()
+    np.bitwise_or.at(bits, places >> 3, (1 << (places & 7)).astype(np.uint8))
+    return bits
+
+
 def secrets_of_texts(texts: DataFrame, owners: int = OWNERS) -> DataFrame:
-    """(session, seq, block, values) of every text that holds a confirmed value."""
-    index, _ = written(index_literals(texts))
-    known = confirmed(index, owners)
-    held = index.select("session", "seq", "block", "digest").join(known, "digest")
+    """(session, seq, block, values) of every text that may hold a confirmed value: it holds the value's anchor."""
+    known, _ = written(anchored(confirmed(index_literals(texts), owners)))
+    held = anchors_in(texts, anchor_bits(known)).join(known, "gram")
     return held.groupBy("session", "seq", "block").agg(F.collect_set("value").alias("values"))
 
 

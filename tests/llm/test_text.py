@@ -254,3 +254,14 @@ LONG = base64.b64encode(random.Random(5).randbytes(1500)).decode()
 )
 def test_long_encoded_and_cut_off_credentials(text, want):
     assert [text.count("\n", 0, i) + 1 for i, _, s in credentials.literals(text) if s] == want
+
+
+def test_confirmed_values_are_found_in_any_text(spark):
+    values = ["Winter!Storm", "q8@b:,(", "Zx1-k9", "Kp7wQz2LmX94vTbR", "s3cr" + LONG[:240]]
+    rows = [("k", i, 0, "tool_result", f"password = '{v}'", f"o{i}", "x") for i, v in enumerate(values)]
+    rows += [("t", i, 0, "tool_result", f"first\nit was {v}.", f"p{i}", "x") for i, v in enumerate(values)] + [("u", i, 0, "tool_result", f"a/x={v}/b", f"p{i}", "x") for i, v in enumerate(values)]
+    rows += [("n", 1, 0, "tool_result", "Winter! Storm, AZx1-k9 and Zx1-k", "p", "x"), ("n", 2, 0, "tool_result", "", "p", "x"), ("n", 3, 0, "tool_result", None, "p", "x")]
+    df = spark.createDataFrame(rows, TEXTS)
+    got = sorted(map(tuple, credentials.credential_lines(df).collect()))
+    assert got == sorted([(s, i, 0, n) for s, n in (("k", 1), ("t", 2), ("u", 1)) for i in range(len(values))])
+    assert not any(v in r["text"] for r in credentials.redacted_texts(df).collect() if r["text"] and r["session"] != "n" for v in values)
