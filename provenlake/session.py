@@ -1,4 +1,7 @@
-"""Session helpers: lineage cuts in the shared folder."""
+"""Session helpers: lineage cuts in the shared folder.
+
+Written tables are deleted when the JVM ends, or earlier by ``discard``.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a folder of our own where it is unset (tests)."""
+    """The folder named by spark.checkpoint.dir; where it is unset, a folder of our own in local mode (tests) and an error on a cluster."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="provenlake-")
         spark.conf.set("spark.checkpoint.dir", d)
     return d.rstrip("/")
@@ -24,10 +29,16 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
     """
     path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    p = _path(df.sparkSession, path)
+    p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(p)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Deletes a written table that nothing reads any more."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p = _path(spark, path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
