@@ -4,9 +4,12 @@ Method: every line points to the line it continues; pointers are resolved by
 iterative pointer jumping (each round joins a line with the line it points to and
 doubles the distance), which gives each line the root of its turn and its depth on
 the path.  Orphans (results without a call, calls without a result) and reused ids
-come from the call pointers (session, id); a cycle would be a pointer that never
-reaches a root and is reported as such.  Conversations are then the root-to-leaf
-paths in order, and broken ones are dropped with the reason.
+come from the call pointers (session, id).  Conversations are then the root-to-leaf
+paths in order, and broken ones are dropped with the reason.  The pointers made here
+follow line order and so cannot close a cycle; ``cycle`` is the defect of a pointer that
+reaches no root after ``MAX_ROUNDS``, for pointers from elsewhere.
+
+The messages are read and parsed once, into a slim table in the shared folder.
 
 Defined results: only lines of type user and assistant take part; a line without
 readable content counts as a line without text; a null id is an id of its own; a
@@ -30,7 +33,7 @@ MAX_ROUNDS = 64  # 2 ** 64 lines: only a cycle needs more
 
 
 def messages(lines: DataFrame) -> DataFrame:
-    """(session, seq, role, has_text, uses, results): one row per user or assistant line."""
+    """(session, seq, role, has_text, uses, results): one row per user or assistant line, as a written table."""
     body = F.expr("try_variant_get(v, '$.message.content', 'array<variant>')")
     plain = F.expr("if(schema_of_variant(try_variant_get(v, '$.message.content', 'variant')) = 'STRING', try_variant_get(v, '$.message.content', 'string'), null)")
     kind = lambda b: F.try_variant_get(b, "$.type", "string")
@@ -48,7 +51,7 @@ def messages(lines: DataFrame) -> DataFrame:
         F.coalesce(ids("tool_use", "$.id"), none).alias("uses"),
         F.coalesce(ids("tool_result", "$.tool_use_id"), none).alias("results"),
     )
-    return slim.where("role in ('user', 'assistant')").drop("line_id")
+    return written(slim.where("role in ('user', 'assistant')").drop("line_id"))[0]
 
 
 def resolve_turns(msgs: DataFrame) -> tuple[DataFrame, str]:
@@ -85,9 +88,8 @@ def defects(files: DataFrame, msgs: DataFrame, turns: DataFrame) -> DataFrame:
     """(session, defect) for every file of ``files``."""
     turn = turns.groupBy("session", "root").agg(F.max("prompt").alias("prompt"), F.max((F.col("role") == "assistant") & (F.col("has_text") | F.col("calls"))).alias("reply"), F.max(F.col("has_text") | F.col("calls") | F.col("answers")).alias("full"), F.min("done").alias("done"))
     per_file = turn.groupBy("session").agg(F.max(F.col("prompt") & ~F.col("reply")).alias("no_reply"), F.max("full").alias("full"), F.max(~F.col("done")).alias("cycle"))
-    one = F.lit(1).cast("long")
-    ends = msgs.select("session", F.explode("uses").alias("id"), one.alias("u"), (one - 1).alias("r")).union(msgs.select("session", F.explode("results").alias("id"), (one - 1).alias("u"), one.alias("r")))
-    ids = ends.groupBy("session", "id").agg(F.sum("u").alias("u"), F.sum("r").alias("r"))
+    ends = F.concat(F.transform("uses", lambda i: F.struct(i.alias("id"), F.lit(True).alias("call"))), F.transform("results", lambda i: F.struct(i.alias("id"), F.lit(False).alias("call"))))
+    ids = msgs.select("session", F.inline(ends)).groupBy("session", "id").agg(F.count_if("call").alias("u"), F.count_if(~F.col("call")).alias("r"))
     per_ids = ids.groupBy("session").agg(F.max((F.col("u") > 0) & (F.col("r") == 0)).alias("open_call"), F.max((F.col("r") > 0) & (F.col("u") == 0)).alias("stray_result"), F.max(F.col("u") > 1).alias("reused_id"))
     all_files = files.where("session is not null").select("session").distinct()
     flags = all_files.join(per_file, "session", "left").join(per_ids, "session", "left")
