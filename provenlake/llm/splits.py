@@ -13,7 +13,8 @@ the split in which the middle of its stretch of the running total falls.
 
 Defined results: missing or placeholder values (null, blank, '-', n/a, unknown,
 none) tie nothing; an entry without ties is its own component; an entry listed
-twice (same id) counts once; spellings of one split are one; an empty table gives
+twice (same id) counts once, tied by the values of all its rows, with the least
+(split, bytes) of them; spellings of one split are one; an empty table gives
 an empty result; columns beyond the named ones are ignored.
 """
 
@@ -62,11 +63,14 @@ def split_key(c: Column) -> Column:
 
 def tied_entries(manifest: DataFrame) -> DataFrame:
     """(entry_id, component, old, bytes): each entry once, with its group and its cleaned split."""
-    once = manifest.where("entry_id is not null").dropDuplicates(["entry_id"]).select(
-        "entry_id", file_key(F.col("file")).alias("f"), digest_key(F.col("source_sha256")).alias("d"), person_key(F.col("operator")).alias("o"), split_key(F.col("split")).alias("old"), "bytes"
+    keys, _ = written(
+        manifest.where("entry_id is not null").select(
+            "entry_id", split_key(F.col("split")).alias("old"), "bytes", file_key(F.col("file")).alias("f"), digest_key(F.col("source_sha256")).alias("d"), person_key(F.col("operator")).alias("o")
+        )
     )
-    cc = components_of(once, "entry_id", {"file": F.col("f"), "source": F.col("d"), "operator": F.col("o")})
-    return once.select("entry_id", "old", "bytes").join(cc, "entry_id")
+    cc = components_of(keys, "entry_id", {"file": F.col("f"), "source": F.col("d"), "operator": F.col("o")})
+    once = keys.groupBy("entry_id").agg(F.min(F.struct("old", "bytes")).alias("r")).select("entry_id", "r.old", "r.bytes")
+    return written(once.join(cc, "entry_id"))[0]
 
 
 def broken_ties(tied: DataFrame) -> DataFrame:
@@ -100,32 +104,26 @@ def stratified_splits(tied: DataFrame, proportions: dict[str, float] | None = No
     room = {s: proportions[s] * total for s in splits}
 
     def rarest(units: list) -> list:
-        """The units in the order of the rarest outstanding label."""
+        """(unit, label) in the order of the label that is rarest among the units not yet placed; None for units without labels."""
         left, out = list(units), []
         while left:
             counts = [(sum(u["vec"][i] for u in left), i) for i in range(len(names))]
             counts = [c for c in counts if c[0] > 0]
             if not counts:
-                return out + left
+                return out + [(u, None) for u in left]
             i = min(counts)[1]
-            out += sorted((u for u in left if u["vec"][i] > 0), key=lambda u: (-u["n"], str(u)))
+            out += [(u, i) for u in sorted((u for u in left if u["vec"][i] > 0), key=lambda u: (-u["n"], str(u)))]
             left = [u for u in left if not u["vec"][i] > 0]
         return out
 
-    def label_of(u) -> int | None:
-        have = [(sums[i], i) for i in range(len(names)) if u["vec"][i] > 0]
-        return min(have)[1] if have else None
-
     placed = []
-    for u in rarest(giants):
-        i = label_of(u)
+    for u, i in rarest(giants):
         s = max(splits, key=lambda s: (room[s] >= u["n"], need[s][i] if i is not None else room[s], room[s], s))
         placed.append((u["component"], s))
         room[s] -= u["n"]
         need[s] = [a - b for a, b in zip(need[s], u["vec"])]
     shares = []
-    for u in rarest(patterns):
-        i = label_of(u)
+    for u, i in rarest(patterns):
         want = {s: max(0.0, need[s][i] if i is not None else room[s]) for s in splits}
         if not sum(want.values()):
             want = {s: max(0.0, room[s]) for s in splits}
