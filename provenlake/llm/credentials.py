@@ -71,7 +71,6 @@ PIECES = re.compile(rf"(['\"])([^'\"\s`]{{4,}})\1(?:{JOINT}\1([^'\"\s`]{{4,}})\1
 JOINED = re.compile(r"['\"][ \t]*[+.\\]?[ \t]*\n")
 PREFIXES = ("AKIA", "ASIA", "AROA", "AIDA", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "glpat-", "npm_", "pypi-", "xox", "_live_", "_test_", "sk-", "AIza", "SG.", "hf_", "dop_v1_", "shpat_", "ya29.", "hvs.", "eyJ")
 NAMED = re.compile(r"(?i)pass|pwd|secret|token|key|credential|dsn|jwt|sid|bearer")
-NAME_BEFORE = re.compile(r"[\w.\-\[\]]*$")
 SECRET_NAME = r"(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret|(?:private|signing|encryption|master|account|secret|storage|license)[_-]?key|credentials?|dsn|jwt|sid|key)"
 ASSIGNED = re.compile(
     rf"((?i:{SECRET_NAME}))[\"'`\]]{{0,2}}[ \t]*(?::=|=>|=|:)[ \t]*"
@@ -97,8 +96,8 @@ SAID = re.compile(
 ENCODED = re.compile(r"(?m)(?i:value|data|b64|base64|encoded|auth|dockerconfigjson|secret|password|token|key)[\"']?[ \t]*[:=][ \t]*[\"']?((?:[A-Za-z0-9+/]{4}){2,}(?:[A-Za-z0-9+/]{2}==|[A-Za-z0-9+/]{3}=)?)(?=[\"']?[ \t]*(?:#.*)?$)")
 AUTH = re.compile(r"\"auth\"\s*:\s*\"[A-Za-z0-9+/]{8,}={0,2}\"")
 ROW_OF_SECRETS = re.compile(r"(?i)\binsert[ \t]+into[ \t]+[\w.\"`]*(?:client|token|secret|cred|key|user|account|auth)\w*[\"`]?[^\n]*")
-QUOTED = re.compile(r"['\"`]([A-Za-z0-9+/=_\-.]{20,200})['\"`]")
-LEFT_NAME = re.compile(r"([\w.\-]+)[\"']?[ \t]*(?::=|=>|=|:|\()[ \t(]*$")
+QUOTED = re.compile(r"['\"`]([A-Za-z0-9+/=_\-.]{20,})['\"`]")
+SIGN_BEFORE = re.compile(r"[\"']?[ \t]*(?::=|=>|=|:|\()[ \t(]*$")
 DIGEST_NAME = re.compile(r"(?i)(?:sha\d*|md5|digest|checksum|hash|etag|integrity|commit|rev(?:ision)?|uuid|guid|fingerprint|signature|nonce|salt|version|public|pub|cert|(?:^|[_.\-])id|ref|path|file|url|uri|name|host|hint|policy|label)$")
 UUID = re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}")
 REFERENCE = re.compile(
@@ -114,6 +113,14 @@ PLACEHOLDER = re.compile(
 )
 
 
+def name_before(text: str, i: int, signs: str = "_.-[]") -> str:
+    """The name, of any length, that ends at a place."""
+    a = i
+    while a and (text[a - 1].isalnum() or text[a - 1] in signs):
+        a -= 1
+    return text[a:i]
+
+
 def entropy(v: str) -> float:
     n = len(v)
     return -sum(c / n * math.log2(c / n) for c in Counter(v).values())
@@ -202,8 +209,9 @@ def literals(text: str) -> list[tuple[int, str, bool]]:
     for m in PIECES.finditer(text) if JOINED.search(text) else ():
         first = m.start(2)
         whole = "".join(re.findall(r"['\"]([^'\"\s`]{4,})['\"]", m[0]))
-        left = LEFT_NAME.search(text, max(0, m.start() - 80), m.start())
-        name = left[1] if left else ""
+        line = text[text.rfind("\n", 0, m.start()) + 1 : m.start()]
+        sign = SIGN_BEFORE.search(line)
+        name = name_before(line, sign.start(), "_.-") if sign else ""
         if len(whole) >= 20 and not DIGEST_NAME.search(name) and not REFERENCE.search(whole) and (any(c.isdigit() for c in whole) or UNEVEN.match(whole)) and re.fullmatch(r"[\w+/=.\-]+", whole):
             add(first, m[2], True)
             blocked.append((m.start() + 1 + len(m[2]), m.end()))
@@ -217,7 +225,7 @@ def literals(text: str) -> list[tuple[int, str, bool]]:
             v = v.rstrip(".:")
         if v.startswith("LS0t") and (d := decodes(v)) and "-----BEGIN" in d and not BEGIN.search(d):
             continue  # an encoded certificate or public key
-        name = NAME_BEFORE.search(text, max(0, m.start() - 60), m.start())[0] + m[1]
+        name = name_before(text, m.start()) + m[1]
         if plausible(v, name, quoted) and text[m.start() - len(name) + len(m[1]) - 2 : m.start() - len(name) + len(m[1])] != "${":
             add(at, v)
     if "://" in text:
