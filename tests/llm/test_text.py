@@ -265,3 +265,28 @@ def test_confirmed_values_are_found_in_any_text(spark):
     got = sorted(map(tuple, credentials.credential_lines(df).collect()))
     assert got == sorted([(s, i, 0, n) for s, n in (("k", 1), ("t", 2), ("u", 1)) for i in range(len(values))])
     assert not any(v in r["text"] for r in credentials.redacted_texts(df).collect() if r["text"] and r["session"] != "n" for v in values)
+
+
+def test_greatest_stretches_against_brute_force():
+    rng = np.random.default_rng(0)
+    for _ in range(200):
+        sizes = rng.integers(1, 9, rng.integers(1, 6))
+        x = toxicity.Words(np.concatenate([[0, *rng.integers(1, 9, n)] for n in sizes]))
+        gain = rng.normal(0, 2, len(x.c))
+        total, begin, end = toxicity.stretches(gain, x)
+        for s, n in enumerate(sizes):
+            f = x.first[s]
+            best = max(gain[f + i : f + j].sum() for i in range(n) for j in range(i + min(3, n), n + 1))
+            assert abs(best - total[s]) < 1e-9 and abs(gain[begin[s] : end[s]].sum() - best) < 1e-9
+
+
+def test_unseen_words_never_speak_for_a_category():
+    m = toxicity.Models([("fine", "We moved the cache to another folder.")] * 5)
+    x = toxicity.Words(np.array([0, *map(m.lookup.name, ["zxq", "vbnm", "qqq", "wrt"])]))
+    assert all((g <= 0).all() for g in m.lookup.gains(x))
+
+
+def test_toxicity_in_scripts_without_blanks():
+    m = toxicity.Models([("fine", "这个测试很好。我们走。")] * 5)
+    assert toxicity.tokens_of("你好 abc") == ["你", "好", "abc"]
+    assert m.judge(toxicity.tokens_of("你这个白痴"))[0] == "abusive"
