@@ -3,17 +3,21 @@
 Detection: e-mail addresses (also written out), phone numbers, identity numbers and
 street addresses by their notation; names of persons by a lexicon of given and family
 names, in any order, case and script variant, with initials.  The lexicon comes from
-the corpus' own records of persons (the operators of the manifest): it is counted in
-Spark, kept in blocks of at most ``LEXICON`` family names, and each block is one pass.
+the corpus' own records of persons (the operators of the manifest), counted in Spark.
+A lexicon of at most ``LEXICON`` names is sent to the tasks; of a larger one every text
+gets the names among its own words by an equi-join.  Both ways give the same rows.
 
 Method for the replacements: surrogate generation.  Every value gets a keyed
-replacement of its type: the typed placeholder that stands in the redacted text
-(``[NAME_3f9a1c]``; equal values, however written, get the same one, so coreference
-stays), and a surrogate of the same format for uses that need one - digits for digits,
-letters for letters of the same case and script, names for names of the same gender
-class.  Surrogates that collide are re-keyed until all are distinct.
-
-Rows never leave their task for detection and redaction.
+replacement of its type: a typed placeholder (``[NAME_3f9a1c...]``) and a surrogate of
+the same format: digits for digits, letters for letters of the same case and script,
+country prefixes, domains' last labels and street words kept.  Equal values, however
+written, get the same one.  Names are replaced part by part: a given name, a family name
+and the letter of an initial have one replacement each, and the first letters follow a
+keyed permutation, so "J. Smith" still stands for "John Smith".  A given name that titles
+in the corpus (Mr, Frau, Sra and the like) call a woman's or a man's gets an ending of
+that kind.  Replacements that collide are re-keyed until all are distinct, else it is an
+error.  Findings, a few thousandths of the text, are joined with the table of
+replacements and then, line by line, with the texts.
 
 Defined results: null and blank texts hold nothing; a value that stands in a text
 several times is one row and is replaced everywhere; of overlapping findings the one
@@ -26,10 +30,11 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import random
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -37,12 +42,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenlake.llm.tokenize import bounded
-from provenlake.session import written
+from provenlake.session import discard, written
 
 LEXICON = 200_000
 KINDS = ("email", "phone", "id_number", "address", "name")
 
-# Logins of services, not of persons.
+# Logins of services, not of persons.
 SERVICE = frozenset("git svn hg root admin administrator noreply no-reply donotreply mailer-daemon postmaster webmaster hostmaster abuse support info help sales security ci bot build deploy robot notifications ubuntu ec2-user user oauth2 x-access-token".split())
 
 EMAIL = re.compile(r"(?<![\w.+%@/:-])[A-Za-z0-9][\w.+%-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![\w@-])(?!:[\w/])")
@@ -106,9 +111,9 @@ class Names:
         self.given, self.family = given, family
         self.memo: dict[str, str] = {}
 
-    def find(self, t: str) -> list[tuple[int, int]]:
-        """Spans of names in a text whose line wraps are blanks."""
-        out: list[tuple[int, int]] = []
+    def find(self, t: str) -> list[tuple[int, int, str]]:
+        """(start, end, roles) of names in a text whose line wraps are blanks; a role is g, i or f for each word."""
+        out: list[tuple[int, int, str]] = []
         memo, given, family = self.memo, self.given, self.family
         if len(memo) > 200_000:
             memo.clear()
@@ -125,55 +130,53 @@ class Names:
             return out
         words = [(m.start(), m.end(), m[0]) for m in WORD.finditer(t)]
         n, last = len(words), 0
+
+        def initial(i: int, z: int, gaps: tuple[str, ...]) -> bool:
+            """Whether word i is an initial with its full stop, at one of these gaps from z."""
+            return i < n and "i" in kinds[i] and t[z : words[i][0]] in gaps and t[words[i][1] : words[i][1] + 1] == "." and words[i][2].isupper()
+
         for i in range(n):
-            k = kinds[i]
-            if "f" not in k or words[i][0] < last:
+            if "f" not in kinds[i] or words[i][0] < last:
                 continue
             a, z, _ = words[i]
             # before: [given or initial] [initials] family
-            j, start, got = i - 1, a, False
+            j, start, roles, got = i - 1, a, "f", False
             while j >= 0 and i - j <= 3 and words[j][0] >= last:
                 gap = t[words[j][1] : start]
                 if "g" in kinds[j] and gap == " ":
-                    start, got = words[j][0], True
+                    start, roles, got = words[j][0], "g" + roles, True
+                    break
+                if "i" not in kinds[j] or gap not in (". ", " ", ".") or not words[j][2].isalpha() or (gap == " " and not words[j][2].isupper()):
                     break
-                if "i" in kinds[j] and gap in (". ", " ", ".") and words[j][2].isalpha():
-                    if gap == " " and not words[j][2].isupper():
-                        break
-                    start, got = words[j][0], gap != " " or got
-                    j -= 1
-                    continue
-                break
-            if got:
-                if start == a:
-                    continue
-                out.append((start, z))
+                start, roles, got = words[j][0], "i" + roles, gap != " " or got
+                j -= 1
+            if not got:
+                # after: family, given [initial] or family given, family, initial
+                start, roles = a, ""
+                if i + 1 < n and "g" in kinds[i + 1] and t[z : words[i + 1][0]] in (", ", " ", ","):
+                    z, roles = words[i + 1][1], "fg"
+                    if initial(i + 2, z, (" ",)):
+                        z, roles = words[i + 2][1] + 1, "fgi"
+                # an initial before another family name belongs to that one
+                elif initial(i + 1, z, (", ", " ", ",")) and not (i + 2 < n and "f" in kinds[i + 2]):
+                    z, roles = words[i + 1][1] + 1, "fi"
+            if roles:
+                out.append((start, z, roles))
                 last = z
-                continue
-            # after: family, given [initial] or family given, family, initial
-            if i + 1 < n:
-                gap = t[z : words[i + 1][0]]
-                if gap in (", ", " ", ",") and "g" in kinds[i + 1]:
-                    z = words[i + 1][1]
-                    if i + 2 < n and "i" in kinds[i + 2] and t[z : words[i + 2][0]] == " " and t[words[i + 2][1] : words[i + 2][1] + 1] == "." and words[i + 2][2].isupper():
-                        z = words[i + 2][1] + 1
-                    out.append((a, z))
-                    last = z
-                elif gap in (", ", " ", ",") and "i" in kinds[i + 1] and t[words[i + 1][1] : words[i + 1][1] + 1] == "." and words[i + 1][2].isupper():
-                    # a further initial, then the end; an initial before another family name belongs to that one
-                    if not (i + 2 < n and "f" in kinds[i + 2]):
-                        z = words[i + 1][1] + 1
-                        out.append((a, z))
-                        last = z
         return out
 
 
 def find_all(text: str | None, wrapped: bool, names: Names) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every personal value, without overlaps."""
+    return [f[:3] for f in findings(text, wrapped, names)]
+
+
+def findings(text: str | None, wrapped: bool, names: Names) -> list[tuple]:
+    """As ``find_all``; names have their roles as a fourth value."""
     if not text:
         return []
     t = text.replace("\n", " ") if wrapped and "\n" in text else text
-    found: list[tuple[int, int, str]] = []
+    found: list[tuple] = []
     if "@" in t:
         for m in EMAIL.finditer(t):
             local = m[0].split("@")[0].lower()
@@ -192,7 +195,7 @@ def find_all(text: str | None, wrapped: bool, names: Names) -> list[tuple[int, i
         found += [(m.start(), m.end(), "id_number") for m in IDENTITY.finditer(t)]
         if any(w in t for w in STREET):
             found += [(m.start(), m.end(), "address") for m in ADDRESS.finditer(t)]
-    found += [(a, z, "name") for a, z in names.find(t)]
+    found += [(a, z, "name", roles) for a, z, roles in names.find(t)]
     if len(found) < 2:
         return found
     found.sort(key=lambda f: (f[0], -f[1], KINDS.index(f[2])))
@@ -203,132 +206,340 @@ def find_all(text: str | None, wrapped: bool, names: Names) -> list[tuple[int, i
     return out
 
 
-def name_lexicon(operators: DataFrame, column: str) -> tuple[set[str], DataFrame, int]:
-    """(given names, table of family names, its size) from persons recorded as given and family name."""
+def name_lexicon(operators: DataFrame, column: str) -> DataFrame:
+    """(w, given, family): names of persons recorded as given and family name, apart from case, accents and signs."""
+
+    @F.pandas_udf("string")
+    def plain(words: pd.Series) -> pd.Series:
+        return words.map(bare)
+
     parts = F.filter(F.split(F.lower(F.trim(F.col(column))), r"[^\p{L}'’]+"), lambda p: F.length(p) > 2)
-    two = operators.select(parts.alias("p")).where("size(p) = 2").groupBy("p").count()
-    given = two.groupBy(F.col("p")[0].alias("w")).agg(F.sum("count").alias("n"))
-    family = two.groupBy(F.col("p")[1].alias("w")).agg(F.sum("count").alias("n"))
-    size = given.count()
-    if size > LEXICON:
-        raise ValueError(f"{size} given names: more than any population has; the column holds no persons")
-    return {bare(r[0]) for r in given.select("w").collect()}, family, family.count()
+    two = operators.select(parts.alias("p")).where("size(p) = 2").distinct()
+    roles = F.array(F.struct(F.col("p")[0].alias("w"), F.lit(True).alias("given")), F.struct(F.col("p")[1].alias("w"), F.lit(False).alias("given")))
+    once = two.select(F.inline(roles)).distinct().select(plain("w").alias("w"), "given").where("w <> ''")
+    return once.groupBy("w").agg(F.max("given").alias("given"), F.max(~F.col("given")).alias("family"))
+
+
+KEY = ["session", "seq", "block"]
+SPANS = "session string, seq long, block long, start int, stop int, kind string, found_text string, first boolean, value string, parts array<struct<kind:string,value:string>>, sign string"
+NONE = pa.schema([("session", pa.string()), ("seq", pa.int64()), ("block", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("kind", pa.string()), ("found_text", pa.string()), ("first", pa.bool_()), ("value", pa.string()), ("parts", pa.list_(pa.struct([("kind", pa.string()), ("value", pa.string())]))), ("sign", pa.string())])
+MAN = re.compile(r"\b(?:Mr|Herrn?|Hrn?|Sr|Señor|Monsieur|Mister|M|г-н)\.? $")
+WOMAN = re.compile(r"\b(?:Mrs|Ms|Miss|Frau|Fr|Sra|Señora|Srta|Mme|Mlle|Madame|г-жа)\.? $")
+
+
+def sign_before(text: str, at: int) -> str:
+    """f or m where a title before a name says so."""
+    before = text[max(0, at - 12) : at].replace("\n", " ")
+    return "f" if WOMAN.search(before) else "m" if MAN.search(before) else ""
 
 
-def personal_values(texts: DataFrame, persons: DataFrame, column: str = "operator", replace: bool = False, key: str = "") -> DataFrame:
-    """(session, seq, block, kind, found_text), or with ``replace`` (session, seq, block, text) redacted.
+def _rows(batch: pa.RecordBatch, hits: list[list[tuple]]) -> pa.RecordBatch:
+    pick, rows = [], []
+    for i, (t, found) in enumerate(zip(batch.column(4).to_pylist(), hits)):
+        seen = set()
+        for a, z, kind, *roles in found:
+            v = t[a:z]
+            name = kind == "name"
+            pick.append(i)
+            rows.append((a, z, kind, v, (kind, v) not in seen, canonical(kind, v), parts_of(v, roles[0]) if name else None, sign_before(t, a) if name else ""))
+            seen.add((kind, v))
+    columns = [*zip(*rows)] if rows else [()] * 8
+    at = pa.array(pick, pa.int64())
+    parts = [p if p is None else [{"kind": k, "value": v} for k, v in p] for p in columns[6]]
+    return pa.RecordBatch.from_arrays([*(batch.column(k).take(at) for k in range(3)), *(pa.array(parts if k == 6 else c, NONE.field(3 + k).type) for k, c in enumerate(columns))], schema=NONE)
+
+
+def personal_spans(texts: DataFrame, persons: DataFrame, column: str = "operator") -> DataFrame:
+    """Every place of a personal value: the key of the text, start, stop, kind, found_text, whether it is the first such of
+    its text, and for replacements its canonical value, the parts of a name and the sign of a title before it.
 
     ``texts`` has session, seq, block, btype, text; ``persons`` a column of persons.
     """
-    spark = texts.sparkSession
-    given, family, size = name_lexicon(persons, column)
-    blocks = max(1, -(-size // LEXICON))
-    if replace and blocks > 1:
-        raise ValueError("redact from the table of found values when the lexicon takes several passes")
-    outs = []
-    for b in range(blocks):
-        mine = family if blocks == 1 else family.where(F.pmod(F.xxhash64("w"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast((given, {bare(r[0]) for r in mine.select("w").collect()}))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    lexicon, _ = written(name_lexicon(persons, column))
+    slim = texts.select(*KEY, "btype", "text")
+    if lexicon.count() <= LEXICON:
+        rows = lexicon.toArrow()
+        pairs = list(zip(rows["w"].to_pylist(), rows["given"].to_pylist(), rows["family"].to_pylist()))
+        shared = texts.sparkSession.sparkContext.broadcast(({w for w, g, _ in pairs if g}, {w for w, _, f in pairs if f}))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names = Names(*shared.value)
             for whole in batches:
                 for x in bounded(whole, 4):
-                    texts_, kinds = x.column(4).to_pylist(), x.column(3).to_pylist()
-                    hits = [find_all(t, k == "text", names) for t, k in zip(texts_, kinds)]
-                    if replace:
-                        yield pa.RecordBatch.from_arrays([*(x.column(i) for i in range(3)), pa.array([redacted(t, h, key) for t, h in zip(texts_, hits)], pa.string())], names=["session", "seq", "block", "text"])
-                        continue
-                    rows = [(i, k, v) for i, (t, h) in enumerate(zip(texts_, hits)) for k, v in dict.fromkeys((k, t[a:z]) for a, z, k in h)]
-                    pick = pa.array([r[0] for r in rows], pa.int64())
-                    yield pa.RecordBatch.from_arrays([*(x.column(i).take(pick) for i in range(3)), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())], names=["session", "seq", "block", "kind", "found_text"])
+                    yield _rows(x, [findings(t, k == "text", names) for t, k in zip(x.column(4).to_pylist(), x.column(3).to_pylist())])
+
+        return slim.mapInArrow(run, SPANS)
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for x in bounded(whole, 3):
+                pairs = [(i, w) for i, t in enumerate(x.column(3).to_pylist()) if t for w in {bare(w) for w in WORD.findall(t)}]
+                at = pa.array([i for i, _ in pairs], pa.int64())
+                yield pa.RecordBatch.from_arrays([*(x.column(k).take(at) for k in range(3)), pa.array([w for _, w in pairs], pa.string())], names=[*KEY, "w"])
+
+    words = slim.select(*KEY, "text").mapInArrow(own, "session string, seq long, block long, w string")
+    held = words.join(lexicon, "w").groupBy(*KEY).agg(F.collect_list(F.when(F.col("given"), F.col("w"))).alias("g"), F.collect_list(F.when(F.col("family"), F.col("w"))).alias("f"))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for x in bounded(whole, 4):
+                c = [x.column(k).to_pylist() for k in (4, 3, 5, 6)]
+                yield _rows(x, [findings(t, k == "text", Names(set(g or ()), set(f or ()))) for t, k, g, f in zip(*c)])
+
+    return slim.join(held, KEY, "left").select(*KEY, "btype", "text", "g", "f").mapInArrow(each, SPANS)
 
-        schema = "session string, seq long, block long, " + ("text string" if replace else "kind string, found_text string")
-        outs.append(texts.select("session", "seq", "block", "btype", "text").mapInArrow(run, schema))
-    found = reduce(DataFrame.unionByName, outs)
-    return found if blocks == 1 else found.distinct()
+
+def personal_values(texts: DataFrame, persons: DataFrame, column: str = "operator") -> DataFrame:
+    """(session, seq, block, kind, found_text) of every personal value of every text, once."""
+    return personal_spans(texts, persons, column).where("first").select(*KEY, "kind", "found_text")
 
 
 def canonical(kind: str, value: str) -> str:
     """One spelling for all notations of a value, so that coreference survives."""
     if kind == "email":
-        v = re.sub(r" ?[\[({] ?at ?[\])}] ?| at ", "@", value.lower())
-        return re.sub(r" ?[\[({] ?dot ?[\])}] ?| dot ", ".", v)
+        v = re.sub(AT, "@", value.lower())
+        return re.sub(DOT, ".", v)
     if kind in ("phone", "id_number"):
-        v = re.sub(r"[^0-9a-z]", "", value.lower().replace("(0)", ""))
-        return v
+        return re.sub(r"[^0-9a-z]", "", value.lower().replace("(0)", ""))
     if kind == "name":
-        words = [bare(w) for w in MARKS.findall(value)] if "," not in value else [bare(w) for part in reversed(value.split(",")) for w in MARKS.findall(part)]
-        return " ".join(words)
+        return " ".join(f"{v}." if k == "initial" else v for k, v in sorted(parts_of(value), key=lambda p: ORDER.index(p[0])))
     return re.sub(r"[\W_]+", " ", value.casefold()).strip()
 
 
+AT, DOT = r" ?[\[({] ?at ?[\])}] ?| at ", r" ?[\[({] ?dot ?[\])}] ?| dot "
+ORDER = ("given", "initial", "family")
+
+
+def parts_of(value: str, roles: str = "") -> list[tuple[str, str]]:
+    """(kind, value) of the words of a name; without ``roles`` the family name stands last, or first before a comma."""
+    words = WORD.findall(value)
+    if not roles:
+        roles = "".join("i" if len(bare(w)) == 1 else "g" for w in words)
+        at = 0 if "," in value else len(words) - 1
+        roles = roles[:at] + "f" + roles[at + 1 :]
+    return [({"g": "given", "i": "initial", "f": "family"}[r], bare(w)) for r, w in zip(roles, words)]
+
+
 def keyed(key: str, *parts: str) -> bytes:
-    return hmac.new(key.encode(), "\x1f".join(parts).encode(), hashlib.sha256).digest()
+    return hmac.new(key.encode(), "\x1f".join(parts).encode("utf-8", "replace"), hashlib.sha256).digest()
+
+
+def token(kind: str, value: str, key: str, attempt: int = 0) -> str:
+    return keyed(key, "token", kind, value, str(attempt)).hex()[:12]
 
 
 def placeholder(kind: str, value: str, key: str) -> str:
-    return f"[{kind.upper()}_{keyed(key, kind, canonical(kind, value)).hex()[:12]}]"
+    return f"[{kind.upper()}_{token(kind, canonical(kind, value), key)}]"
 
 
-def redacted(text: str | None, hits: list[tuple[int, int, str]], key: str) -> str | None:
-    if not text or not hits:
-        return text
+def spliced(text: str, hits: list[tuple[int, int, str]]) -> str:
+    """A text with (start, end, replacement) put in."""
     out, at = [], 0
-    for a, z, kind in hits:
-        out += [text[at:a], placeholder(kind, text[a:z], key)]
+    for a, z, r in sorted(hits):
+        out += [text[at:a], r]
         at = z
     return "".join(out) + text[at:]
 
 
-def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
-    """A replacement of the same format: digits for digits, letters for letters of the same case and script.
+def redacted(text: str | None, hits: list[tuple[int, int, str]], key: str) -> str | None:
+    return spliced(text, [(a, z, placeholder(k, text[a:z], key)) for a, z, k in hits]) if text and hits else text
+
+
+VOWELS = "aeiouyаеиоуыэюяαεηιουω"
+
+
+@lru_cache(4096)
+def letters_like(c: str) -> str:
+    """Lower-case letters of the script (the same 128 code points) of a letter, vowels apart from consonants where known."""
+    if c.isascii():
+        pool = "abcdefghijklmnopqrstuvwxyz"
+    elif "а" <= c <= "я":
+        pool = "абвгдежзиклмнопрстуфхцчшэюя"
+    elif "α" <= c <= "ω":
+        pool = "αβγδεζηθικλμνξοπρστυφχψω"
+    else:
+        at = ord(c) // 128 * 128
+        pool = "".join(x for x in map(chr, range(at, at + 128)) if unicodedata.category(x) == unicodedata.category(c)) or c
+    return "".join(x for x in pool if (x in VOWELS) == (c in VOWELS))
+
+
+@lru_cache(4096)
+def first_letter(c: str, key: str) -> str:
+    """A keyed permutation of the letters of a script."""
+    pool = sorted({*letters_like(c), *(letters_like("a" if c.isascii() else "а" if "а" <= c <= "я" else c) + (letters_like("b") if c.isascii() else letters_like("б") if "а" <= c <= "я" else ""))})
+    mixed = pool[:]
+    random.Random(keyed(key, "first", "".join(pool))).shuffle(mixed)
+    return mixed[pool.index(c)] if c in pool else c
+
+
+def stream(key: str, *parts: str) -> Iterator[int]:
+    n = 0
+    while True:
+        yield from keyed(key, *parts, str(n))
+        n += 1
+
+
+def name_part(kind: str, value: str, sign: str, key: str, attempt: int = 0) -> str:
+    """A given or family name of the same script, with the first letter of the permutation, in small letters."""
+    x = stream(key, kind, value, str(attempt))
+    out = [first_letter(value[0], key)]
+    like = value[0] if value[0].isascii() or "а" <= value[0] <= "я" else None
+    size = max(4, len(value)) + attempt // 8 if like else len(value) + attempt // 8
+    while len(out) < size:
+        if like:
+            vowel = out[-1] not in VOWELS
+            pool = letters_like(("a" if vowel else "b") if like.isascii() else ("а" if vowel else "б"))
+        else:
+            pool = letters_like(value[min(len(out), len(value) - 1)])
+        out.append(pool[next(x) % len(pool)])
+    if like and kind == "given" and sign:
+        vowels, rest = ("a", letters_like("b")) if like.isascii() else ("а", letters_like("б"))
+        out[-1] = vowels if sign == "f" else rest[next(x) % len(rest)]
+        if (out[-2] in VOWELS) == (sign == "f"):
+            pool = rest if sign == "f" else "aeio" if like.isascii() else "аеио"
+            out[-2] = out[-2] if len(out) == 2 else pool if isinstance(pool, str) and len(pool) == 1 else pool[next(x) % len(pool)]
+    return "".join(out)
 
-    Given names that end in the same vowel class (the only sign of gender kept) stay in that class.
-    """
-    seed = keyed(key, kind, canonical(kind, value), str(attempt))
-    stream = iter(b"".join(hashlib.sha256(seed + bytes([i])).digest() for i in range(1 + len(value) // 24)))
+
+KEPT = frozenset(w.lower().strip("./") for w in STREET) | frozenset("street avenue drive terrace place circle highway apt apartment suite unit flat floor de la las los del des du le calle avenida plaza viale".split())
+
+
+def surrogate_value(kind: str, value: str, key: str, attempt: int = 0) -> str:
+    """The letters and digits that replace those of a canonical value, in order."""
+    x = stream(key, kind, value, str(attempt))
+    kept: set[int] = set()
+    if kind == "email":
+        kept = set(range(value.rfind("."), len(value)))
+    elif kind == "phone":
+        kept = {0, 1}
+    elif kind == "address":
+        kept = {i for m in re.finditer(r"\S+", value) if m[0] in KEPT for i in range(*m.span())}
     out = []
     for i, c in enumerate(value):
-        x = next(stream)
-        if c.isdigit():
-            out.append(str(x % 10))
-        elif not c.isalpha() or (kind == "email" and i > max(value.find("@"), 0) > 0):
+        n = next(x)
+        if not c.isalnum():
+            continue
+        if i in kept or c in "ºª" or not (c.isdigit() or c.isalpha()):
             out.append(c)
+        elif c.isdigit():
+            out.append(str(n % 10))
         else:
-            vowels, rest = "aeiou", "bcdfghjklmnprstvwz"
-            if "а" <= c.lower() <= "я":
-                vowels, rest = "аеиоу", "бвгдзклмнпрст"
-            pool = vowels if c.lower() in vowels else rest
-            r = pool[x % len(pool)]
-            if kind == "name" and c.lower() in vowels and (i + 1 == len(value) or value[i + 1] == " "):
-                r = "a" if c.lower() == "a" else pool[1 + x % (len(pool) - 1)]
-            out.append(r.upper() if c.isupper() else r)
+            pool = letters_like(c)
+            out.append(pool[n % len(pool)] if pool else c)
+    return "".join(out)
+
+
+def cased(new: str, old: str) -> str:
+    """``new`` in the case of ``old``, with its hyphens and apostrophes."""
+    letters = [c for c in old if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        new = new.upper()
+    elif letters and letters[0].isupper():
+        new = new[:1].upper() + new[1:]
+    out, k = new, 0
+    for i, c in enumerate(old):
+        if not c.isalpha():
+            out = out[: i + k] + c + (out[i + k : i + k + 1].upper() if old[i + 1 : i + 2].isupper() else out[i + k : i + k + 1]) + out[i + k + 1 :]
+    return out
+
+
+def rendered(kind: str, found: str, surrogate: str) -> str:
+    """A surrogate value in the notation of the value found."""
+    rest, out = iter(surrogate), []
+    split = rf"(?i)({AT}|{DOT})" if kind == "email" else r"(\(0\))" if kind == "phone" else None
+    for i, piece in enumerate(re.split(split, found) if split else [found]):
+        for c in piece:
+            n = next(rest, c) if i % 2 == 0 and c.isalnum() else c
+            out.append(n.upper() if c.isupper() else n)
     return "".join(out)
 
 
+def named(found: str, parts: list[tuple[str, str]], new: list[str]) -> str:
+    """A name with its words replaced; separators stay."""
+    places = [m.span() for m in WORD.finditer(found)]
+    return spliced(found, [(a, z, cased(n, found[a:z])) for (a, z), n in zip(places, new)])
+
+
+def surrogate(kind: str, value: str, key: str, attempt: int = 0) -> str:
+    """A replacement of one value on its own, without a check against others."""
+    if kind != "name":
+        return rendered(kind, value, surrogate_value(kind, canonical(kind, value), key, attempt))
+    parts = parts_of(value)
+    return named(value, parts, [first_letter(v, key) if k == "initial" else name_part(k, v, "", key, attempt) for k, v in parts])
+
+
+ROUNDS = 64
+
+
 def surrogates(found: DataFrame, key: str) -> DataFrame:
-    """(kind, value, surrogate): one surrogate per value, all distinct within a kind.
+    """(kind, value, surrogate, token): one replacement per value, all distinct within a kind.
 
-    ``value`` is the canonical spelling; values whose surrogates collide are re-keyed
-    with the next attempt until none does.
+    ``found`` has kind and found_text, or what ``personal_spans`` gives.  ``value`` is the canonical spelling; names have
+    rows of their own, with a token only, and rows for their given and family names.  Values whose replacements collide
+    are re-keyed with the next attempt until none does.
     """
-    @F.pandas_udf("string")
-    def canon(kinds: pd.Series, values: pd.Series) -> pd.Series:
-        return pd.Series([canonical(k, v) for k, v in zip(kinds, values)])
 
-    @F.pandas_udf("string")
-    def make(kinds: pd.Series, values: pd.Series, attempts: pd.Series) -> pd.Series:
-        return pd.Series([surrogate(k, v, key, int(a)) for k, v, a in zip(kinds, values, attempts)])
-
-    values = found.groupBy("kind", canon("kind", "found_text").alias("value")).agg(F.min("found_text").alias("shape"))
-    table, _ = written(values.withColumn("attempt", F.lit(0)).withColumn("surrogate", make("kind", "shape", "attempt")))
-    for _ in range(16):
-        w = Window.partitionBy("kind", "surrogate").orderBy("value")
-        ranked = table.withColumn("_n", F.row_number().over(w))
-        again = ranked.where("_n > 1")
-        if again.limit(1).count() == 0:
-            break
-        redo = again.drop("_n").withColumn("attempt", F.col("attempt") + 1).withColumn("surrogate", make("kind", "shape", "attempt"))
-        table, _ = written(ranked.where("_n = 1").drop("_n").unionByName(redo))
-    return table.select("kind", "value", "surrogate")
+    @F.pandas_udf("value string, parts array<struct<kind:string,value:string>>")
+    def described(kinds: pd.Series, values: pd.Series) -> pd.DataFrame:
+        rows = [(canonical(k, v), [{"kind": a, "value": b} for a, b in parts_of(v)] if k == "name" else None) for k, v in zip(kinds, values)]
+        return pd.DataFrame(rows, columns=["value", "parts"])
+
+    @F.pandas_udf("surrogate string, token string")
+    def made(kinds: pd.Series, values: pd.Series, signs: pd.Series, attempts: pd.Series) -> pd.DataFrame:
+        rows = []
+        for k, v, s, a in zip(kinds, values, signs, attempts):
+            t = token(k, v, key, a)
+            rows.append((name_part(k, v, s, key, a) if k in ("given", "family") else t if k == "name" else surrogate_value(k, v, key, a), t))
+        return pd.DataFrame(rows, columns=["surrogate", "token"])
+
+    if "value" not in found.columns:
+        found = found.withColumn("_d", described("kind", "found_text")).select("kind", "_d.*", F.lit("").alias("sign"))
+    whole = F.array(F.struct("kind", "value"))
+    rows = found.select("sign", F.explode(F.concat(whole, F.filter(F.coalesce("parts", F.array().cast("array<struct<kind:string,value:string>>")), lambda p: p["kind"] != "initial"))).alias("p"))
+    count = lambda s: F.count_if(F.col("sign") == s)
+    values = rows.groupBy("p.kind", "p.value").agg(F.when(count("f") > count("m"), "f").when(count("m") > count("f"), "m").otherwise("").alias("sign"))
+
+    def replaced(v: DataFrame) -> DataFrame:
+        return v.withColumn("_m", made("kind", "value", "sign", "attempt")).select("kind", "value", "sign", "attempt", "_m.surrogate", "_m.token")
+
+    table, path = written(replaced(values.withColumn("attempt", F.lit(0))))
+    for _ in range(ROUNDS):
+        rank = lambda c: F.row_number().over(Window.partitionBy("kind", c).orderBy("attempt", "value"))
+        ranked = table.withColumn("_n", F.greatest(rank("surrogate"), rank("token")))
+        if ranked.where("_n > 1").limit(1).count() == 0:
+            return table.select("kind", "value", "surrogate", "token")
+        again = ranked.where("_n > 1").select("kind", "value", "sign", (F.col("attempt") + 1).alias("attempt"))
+        nxt, new = written(ranked.where("_n = 1").drop("_n").unionByName(replaced(again)))
+        discard(table.sparkSession, path)
+        table, path = nxt, new
+    raise ValueError(f"replacements still collide after {ROUNDS} attempts: some kind has more values than its format has replacements")
+
+
+def replaced_texts(texts: DataFrame, spans: DataFrame, table: DataFrame, key: str, surrogate: bool = False) -> DataFrame:
+    """(session, seq, block, text): all texts with every finding replaced by its placeholder, or with ``surrogate`` by its surrogate."""
+    place = [*KEY, "start"]
+    own = F.array(F.struct(F.lit(-1).alias("pos"), "kind", "value"))
+    parts = F.transform(F.coalesce("parts", F.array().cast("array<struct<kind:string,value:string>>")), lambda p, i: F.struct(i.alias("pos"), p["kind"].alias("kind"), p["value"].alias("value")))
+    needs = spans.select(*place, F.inline(F.filter(F.concat(own, parts) if surrogate else own, lambda p: p["kind"] != "initial")))
+    got = needs.join(table, ["kind", "value"]).groupBy(*place).agg(F.collect_list(F.struct("pos", "surrogate", "token")).alias("new"))
+    lines = spans.select(*place, "stop", "kind", "found_text", "parts").join(got, place).groupBy("session", "seq").agg(F.collect_list(F.struct("block", "start", "stop", "kind", "found_text", "parts", "new")).alias("hits"))
+
+    def replacement(h: dict) -> str:
+        new = {x["pos"]: x for x in h["new"]}
+        if not surrogate:
+            return f"[{h['kind'].upper()}_{new[-1]['token']}]"
+        if h["kind"] != "name":
+            return rendered(h["kind"], h["found_text"], new[-1]["surrogate"])
+        parts = [(p["kind"], p["value"]) for p in h["parts"]]
+        return named(h["found_text"], parts, [first_letter(v, key) if k == "initial" else new[i]["surrogate"] for i, (k, v) in enumerate(parts)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for x in bounded(whole, 3):
+                out = []
+                for block, t, hits in zip(x.column(2).to_pylist(), x.column(3).to_pylist(), x.column(4).to_pylist()):
+                    mine = [(h["start"], h["stop"], replacement(h)) for h in hits or () if h["block"] == block]
+                    out.append(spliced(t, mine) if mine else t)
+                yield pa.RecordBatch.from_arrays([*(x.column(k) for k in range(3)), pa.array(out, pa.string())], names=[*KEY, "text"])
+
+    return texts.select(*KEY, "text").join(lines, ["session", "seq"], "left").select(*KEY, "text", "hits").mapInArrow(run, "session string, seq long, block long, text string")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provenlake.llm import conversations, credentials, leakage, personal, sentences, splits, tokenize, toxicity
+from provenlake.session import written
 from provenlake.sources.transcripts import all_texts, read_table, result_texts, text_blocks
 
 KEY = "key of the demonstration; give your own"
@@ -36,16 +37,29 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentence_units(text_blocks(read_table(spark, sf_dir, "transcript_lines")))
 
 
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_spans(all_texts(read_table(spark, sf_dir, "transcript_lines")), read_table(spark, sf_dir, "manifest"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_values(all_texts(read_table(spark, sf_dir, "transcript_lines")), read_table(spark, sf_dir, "manifest"))
 
 
+def _replaced(spark: SparkSession, sf_dir: str, surrogate: bool) -> DataFrame:
+    spans, _ = written(_spans(spark, sf_dir))
+    return personal.replaced_texts(all_texts(read_table(spark, sf_dir, "transcript_lines")), spans, personal.surrogates(spans, KEY), KEY, surrogate)
+
+
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.personal_values(all_texts(read_table(spark, sf_dir, "transcript_lines")), read_table(spark, sf_dir, "manifest"), replace=True, key=KEY)
+    return _replaced(spark, sf_dir, False)
+
+
+def p6_surrogated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _replaced(spark, sf_dir, True)
 
 
 def p6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return personal.surrogates(p6_found(spark, sf_dir), KEY)
+    return personal.surrogates(_spans(spark, sf_dir), KEY)
 
 
 def _owned_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +105,7 @@ def p10_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_conversations, p5_found, p6_found, p6_redacted, p6_surrogates, p7_found, p7_redacted, p8_ids, p9_found, p9_leaks, p10_found, p10_scores, p10_source_rates)}
+    return {f.__name__: f for f in (p1_found, p1_splits, p3_found, p3_conversations, p5_found, p6_found, p6_redacted, p6_surrogated, p6_surrogates, p7_found, p7_redacted, p8_ids, p9_found, p9_leaks, p10_found, p10_scores, p10_source_rates)}
 
 
 MESSAGES = """l AS (SELECT session, seq, min_by(raw, line_id) AS raw FROM transcript_lines WHERE json_valid(raw) AND trim(raw) <> '' AND session IS NOT NULL AND seq IS NOT NULL GROUP BY 1, 2),

@@ -290,3 +290,29 @@ def test_toxicity_in_scripts_without_blanks():
     m = toxicity.Models([("fine", "这个测试很好。我们走。")] * 5)
     assert toxicity.tokens_of("你好 abc") == ["你", "好", "abc"]
     assert m.judge(toxicity.tokens_of("你这个白痴"))[0] == "abusive"
+
+
+def test_large_lexicons_give_the_same_rows_and_redactions(spark, monkeypatch):
+    rows = [("s", 1, 0, "text", "Mr. Tindra Oskarby met T. Oskarby (a@m.example)\nand OSKARBY, TINDRA.", "o", "x"), ("s", 1, 1, "text", None, "o", "x"), ("s", 1, 2, "text", "Юрий Вайс und 李 小龍, 12 rue de la Saltcote, 57524 Castlefen", "o", "x")]
+    df, people = spark.createDataFrame(rows, TEXTS), spark.createDataFrame([("tindra oskarby",), ("Юрий Вайс",), ("ignored",)], "operator string")
+    one = sorted(map(tuple, personal.personal_values(df, people).collect()))
+    spans = personal.personal_spans(df, people)
+    out = {r["block"]: r["text"] for r in personal.replaced_texts(df, spans, personal.surrogates(spans, "k"), "k", True).collect()}
+    tags = {r["block"]: r["text"] for r in personal.replaced_texts(df, spans, personal.surrogates(spans, "k"), "k").collect()}
+    monkeypatch.setattr(personal, "LEXICON", 0)
+    assert sorted(map(tuple, personal.personal_values(df, people).collect())) == one and ("s", 1, 2, "name", "Юрий Вайс") in one
+    words = out[0].replace("(", "").replace(",", "").split()
+    # the initial is that of the given name's surrogate; case and order stay
+    assert words[4] == words[1][0] + "." and words[3] == "met"
+    assert words[2].upper() == words[-2] and words[1].upper() + "." == words[-1] and "Tindra" not in out[0] and out[1] is None
+    assert not out[2].startswith("Юрий") and "а" <= out[2][1] <= "я" and " rue de la " in out[2]
+    assert tags[0].count("[NAME_") == 3 and tags[0].endswith("].") and "[EMAIL_" in tags[0] and "[ADDRESS_" in tags[2]
+
+
+def test_surrogates_are_distinct_or_an_error(spark):
+    many = spark.createDataFrame([("name", f"{a}{b} Stone") for a in ("bo", "ka", "li", "mu") for b in "bcdfghjklmnpqrstvwxz"], "kind string, found_text string")
+    got = personal.surrogates(many, "k").collect()
+    assert len({(r["kind"], r["surrogate"]) for r in got}) == len({(r["kind"], r["token"]) for r in got}) == len(got) == 80 + 80 + 1
+    digits = spark.createDataFrame([("id_number", f"{i}") for i in range(10)] + [("id_number", f"0{i}") for i in range(2)], "kind string, found_text string")
+    assert len({r["surrogate"] for r in personal.surrogates(digits, "k").collect()}) == 12
+    assert personal.surrogates(many.limit(0), "k").count() == 0
