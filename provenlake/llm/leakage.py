@@ -1,20 +1,29 @@
 """Evaluation texts leaking into training text.
 
-Method: passages of ``PASSAGE`` words of items and documents get SimHash
-fingerprints; multi-index blocks over the fingerprint guarantee that every pair
-within the Hamming radius shares a block (radius + 1 blocks); candidates are then
-verified exactly: a passage leaks when the weighted share of equal words at equal
-places, rare words weighing more, is ``SIMILARITY`` (1.0: the very same words).
+Method: windows of items and documents get SimHash fingerprints of their words;
+multi-index blocks over the fingerprint guarantee that every pair within the Hamming
+radius shares a block (radius + 1 blocks); candidates are then verified exactly.  There
+are two sizes of window.
 
-Documents are never shuffled: fingerprints of a document's passages are array
-operations over the running sums of its word signatures.  The item index is built
-on the driver for at most ``ITEMS`` items and sent to the tasks; more items are
-taken in blocks of that size, each block one pass over the documents.
+* ``near_leaks``: windows as long as the item (item lengths are cut to steps of a
+  quarter, so documents are fingerprinted once per step).  A window leaks when the
+  weighted share of the item window's five-word shingles that it holds, rare words
+  weighing more, is at least ``NEAR``.  Pairs beyond ``NEAR_RADIUS`` are not found; the
+  tests and README give the recall against brute force.
+* ``find_leaks``: passages of ``PASSAGE`` words, for partial leaks.  A passage leaks
+  when it has the very same words (``SIMILARITY`` 1.0), so its fingerprint is the very
+  same too and the radius only matters where a caller lowers the similarity.
+
+Documents are never shuffled: fingerprints of a document's windows are array
+operations over its word signatures.  The item index is built for at most ``ITEMS``
+items and ``ITEM_CHARS`` characters at once and sent to the tasks; more items are taken
+in blocks of that size, each block one pass over the documents.
 
 Defined results: words are runs of letters and digits, compared without case,
 punctuation, spacing and inline markup (tags are dropped, format characters such
 as zero-width spaces are dropped inside words); null, empty and short texts leak
-nothing; repeated rows give one row; other columns are ignored.
+nothing; an item id with several texts leaks where one of them does; repeated rows
+give one row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,18 +33,21 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from provenlake.llm.tokenize import bounded
 
 PASSAGE = 12
 RADIUS = 1
 SIMILARITY = 1.0
-ITEMS = 20_000
+NEAR, NEAR_RADIUS, SHINGLE = 0.8, 7, 5
+ITEMS, ITEM_CHARS = 20_000, 50_000_000
 WORDS_AT_ONCE = 60_000
 
 WORD = re.compile(r"[^\W_]+")
@@ -73,21 +85,13 @@ def fingerprints(hashes: np.ndarray, passage: int) -> np.ndarray:
     return np.packbits(ones > passage // 2, axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
-class ItemIndex:
-    def __init__(self, items: list[tuple[int, str | None]], passage: int = PASSAGE, radius: int = RADIUS):
-        self.passage, self.radius = passage, radius
-        texts = [(i, words_of(t)) for i, t in items if t]
-        seen = Counter(w for _, ws in texts for w in set(ws))
-        self.weight = {w: 1.0 + math.log((1 + len(texts)) / (1 + c)) for w, c in seen.items()}
-        prints, self.owner, self.words = [], [], []
-        for i, ws in texts:
-            p = fingerprints(word_hashes(ws, {}), passage)
-            prints.append(p)
-            self.owner += [i] * len(p)
-            self.words += [ws[k : k + passage] for k in range(len(p))]
+class Fingerprints:
+    """Fingerprints in sorted blocks: all pairs within a radius."""
+
+    def __init__(self, prints: list[np.ndarray], radius: int):
+        self.radius = radius
         self.prints = np.concatenate(prints) if prints else np.zeros(0, np.uint64)
-        blocks = radius + 1
-        edges = [round(64 * b / blocks) for b in range(blocks + 1)]
+        edges = [round(64 * b / (radius + 1)) for b in range(radius + 2)]
         self.cuts = [(np.uint64(a), np.uint64((1 << (z - a)) - 1)) for a, z in zip(edges, edges[1:])]
         self.blocks = []
         for shift, mask in self.cuts:
@@ -95,13 +99,8 @@ class ItemIndex:
             order = np.argsort(key, kind="stable")
             self.blocks.append((key[order], order))
 
-    def similar(self, a: list[str], k: int) -> float:
-        b, w = self.words[k], self.weight
-        total = sum(w.get(x, 1.0) for x in b)
-        return sum(w.get(x, 1.0) for x, y in zip(b, a) if x == y) / total
-
     def candidates(self, prints: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(position in prints, number of an item passage) of all pairs within the radius."""
+        """(position in prints, number of a fingerprint) of all pairs within the radius, some more than once."""
         for (shift, mask), (keys, order) in zip(self.cuts, self.blocks):
             k = (prints >> shift) & mask
             lo, hi = np.searchsorted(keys, k, "left"), np.searchsorted(keys, k, "right")
@@ -113,11 +112,97 @@ class ItemIndex:
             ends = np.cumsum(size)
             pos = np.repeat(near, size)
             item = order[np.repeat(lo - (ends - size), size) + np.arange(ends[-1])]
-            x = prints[pos] ^ self.prints[item]
-            ok = np.bitwise_count(x) <= self.radius
+            ok = np.bitwise_count(prints[pos] ^ self.prints[item]) <= self.radius
             yield from zip(pos[ok].tolist(), item[ok].tolist())
 
 
+def weights_of(texts: list[tuple[int, list[str]]]) -> dict[str, float]:
+    """Rare words weigh more."""
+    seen = Counter(w for _, ws in texts for w in set(ws))
+    return {w: 1.0 + math.log((1 + len(texts)) / (1 + c)) for w, c in seen.items()}
+
+
+class ItemIndex(Fingerprints):
+    """Passages of one size."""
+
+    def __init__(self, items: list[tuple[int, str | None]], passage: int = PASSAGE, radius: int = RADIUS):
+        self.passage = passage
+        texts = [(i, words_of(t)) for i, t in items if t]
+        self.weight = weights_of(texts)
+        prints, self.owner, self.words = [], [], []
+        for i, ws in texts:
+            p = fingerprints(word_hashes(ws, {}), passage)
+            prints.append(p)
+            self.owner += [i] * len(p)
+            self.words += [ws[k : k + passage] for k in range(len(p))]
+        super().__init__(prints, radius)
+
+    def similar(self, a: list[str], k: int) -> float:
+        b, w = self.words[k], self.weight
+        total = sum(w.get(x, 1.0) for x in b)
+        return sum(w.get(x, 1.0) for x, y in zip(b, a) if x == y) / total
+
+
+def window_size(words: int) -> int:
+    """The greatest step of a quarter that is no longer than an item."""
+    size = SHINGLE
+    while (up := max(size + 1, size * 5 // 4)) <= words:
+        size = up
+    return size
+
+
+class NearIndex:
+    """Windows as long as their items."""
+
+    def __init__(self, items: list[tuple[int, str | None]], radius: int = NEAR_RADIUS):
+        texts = [(i, ws) for i, t in items if t and len(ws := words_of(t)) >= SHINGLE]
+        weight, memo = weights_of(texts), {}
+        by_size: dict[int, list[tuple[int, list[str]]]] = {}
+        for i, ws in texts:
+            by_size.setdefault(window_size(len(ws)), []).append((i, ws))
+        self.sizes = {}
+        for size, mine in by_size.items():
+            prints, owner, shingled = [], [], []
+            for i, ws in mine:
+                h = word_hashes(ws, memo)
+                p = fingerprints(h, size)
+                prints.append(p)
+                owner += [i] * len(p)
+                hs = shingles(h).tolist()
+                ww = [sum(weight[w] for w in ws[k : k + SHINGLE]) for k in range(len(hs))]
+                shingled += [dict(zip(hs[k : k + size - SHINGLE + 1], ww[k : k + size - SHINGLE + 1])) for k in range(len(p))]
+            self.sizes[size] = (Fingerprints(prints, radius), owner, shingled)
+
+
+def shingles(hashes: np.ndarray) -> np.ndarray:
+    """A hash of every run of SHINGLE words."""
+    n = len(hashes) - SHINGLE + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(n, np.uint64)
+    for k in range(SHINGLE):
+        out = (out + hashes[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out ^= out >> np.uint64(31)
+    return out
+
+
+def near_in(doc: int, text: str | None, index: NearIndex, memo: dict[str, int], least: float = NEAR) -> list[tuple[int, int, float]]:
+    """(document, item, greatest similarity) of one text; a very long one is taken in overlapping stretches."""
+    words = words_of(text) if text else []
+    best: dict[int, float] = {}
+    for size, (prints, owner, shingled) in index.sizes.items():
+        for s in range(0, max(0, len(words) - size + 1), WORDS_AT_ONCE):
+            h = word_hashes(words[s : s + WORDS_AT_ONCE + size - 1], memo)
+            own = None
+            for p, k in set(prints.candidates(fingerprints(h, size))):
+                own = shingles(h).tolist() if own is None else own
+                want, here = shingled[k], set(own[p : p + size - SHINGLE + 1])
+                share = sum(w for x, w in want.items() if x in here) / sum(want.values())
+                if share >= least:
+                    best[owner[k]] = max(share, best.get(owner[k], 0.0))
+    return [(doc, i, round(v, 6)) for i, v in best.items()]
+
+
 def word_hashes(words: list[str], memo: dict[str, int]) -> np.ndarray:
     out = []
     for w in words:
@@ -160,20 +245,19 @@ def leaks_in(batch: list[tuple[int, str | None]], index: ItemIndex, similarity:
             yield part[d][0], i, n
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, items_at_once: int = ITEMS) -> DataFrame:
-    """(doc_id, item_id, passages): passages of the item found in the document."""
-    spark = docs.sparkSession
-    from functools import reduce
+def _blocks_of_items(items: DataFrame, items_at_once: int) -> Iterator[DataFrame]:
+    keyed = items.where("item_id is not null and text is not null").select("item_id", "text").distinct()
+    n, chars = keyed.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    blocks = max(1, math.ceil(n / items_at_once), math.ceil(chars / ITEM_CHARS))
+    for b in range(blocks):
+        yield keyed if blocks == 1 else keyed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
 
-    from pyspark.sql import functions as F
 
-    texts = docs.where("doc_id is not null").select("doc_id", "text")
-    keyed = items.where("item_id is not null").select("item_id", "text").dropDuplicates(["item_id"])
-    blocks = max(1, math.ceil(keyed.count() / items_at_once))
-    out = []
-    for b in range(blocks):
-        mine = keyed if blocks == 1 else keyed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in mine.collect()])
+def find_leaks(docs: DataFrame, items: DataFrame, items_at_once: int = ITEMS) -> DataFrame:
+    """(doc_id, item_id, passages): passages of the item found in the document."""
+    texts, out = docs.where("doc_id is not null").select("doc_id", "text"), []
+    for mine in _blocks_of_items(items, items_at_once):
+        shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in mine.collect()])
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = ItemIndex(shared.value)
@@ -183,5 +267,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, items_at_once: int = ITEMS) ->
                     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(3)], names=["doc_id", "item_id", "passages"])
 
         out.append(texts.mapInArrow(run, "doc_id long, item_id long, passages long"))
-    found = reduce(DataFrame.unionByName, out)
-    return found.groupBy("doc_id", "item_id").agg(F.max("passages").alias("passages"))
+    return reduce(DataFrame.unionByName, out).groupBy("doc_id", "item_id").agg(F.max("passages").alias("passages"))
+
+
+def near_leaks(docs: DataFrame, items: DataFrame, items_at_once: int = ITEMS) -> DataFrame:
+    """(doc_id, item_id, similarity): items of which the document holds a near copy, with the greatest similarity."""
+    texts, out = docs.where("doc_id is not null").select("doc_id", "text"), []
+    for mine in _blocks_of_items(items, items_at_once):
+        shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in mine.collect()])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index, memo = NearIndex(shared.value), {}
+            for whole in batches:
+                memo.clear()
+                rows = [r for d, t in zip(whole.column(0).to_pylist(), whole.column(1).to_pylist()) for r in near_in(d, t, index, memo)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.float64() if i == 2 else pa.int64()) for i in range(3)], names=["doc_id", "item_id", "similarity"])
+
+        out.append(texts.mapInArrow(run, "doc_id long, item_id long, similarity double"))
+    return reduce(DataFrame.unionByName, out).groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"))

@@ -316,3 +316,34 @@ def test_surrogates_are_distinct_or_an_error(spark):
     digits = spark.createDataFrame([("id_number", f"{i}") for i in range(10)] + [("id_number", f"0{i}") for i in range(2)], "kind string, found_text string")
     assert len({r["surrogate"] for r in personal.surrogates(digits, "k").collect()}) == 12
     assert personal.surrogates(many.limit(0), "k").count() == 0
+
+
+def test_near_leaks_against_brute_force(spark):
+    rnd = random.Random(11)
+    vocab = [f"w{i}" for i in range(3000)]
+    items = [(i, " ".join(rnd.choices(vocab, k=rnd.randint(12, 60)))) for i in range(40)] + [(90, None), (91, "one two"), (0, "a second text of item nought with just enough different words in it to count")]
+    docs = []
+    for d in range(300):
+        words = (items[d % 40][1] or "").split()
+        for _ in range(rnd.randint(0, 3)):  # substitutions
+            words[rnd.randrange(len(words))] = rnd.choice(vocab)
+        docs.append((d, " ".join(rnd.choices(vocab, k=40)) + " " + ", ".join(words).upper() + " " + " ".join(rnd.choices(vocab, k=20))))
+    docs += [(400, None), (401, ""), (402, items[-1][1]), (402, items[-1][1])]
+    index, want = leakage.NearIndex(items), set()
+    for d, t in docs:
+        h = leakage.word_hashes(leakage.words_of(t or ""), {})
+        s = leakage.shingles(h).tolist()
+        for size, (_, owner, shingled) in index.sizes.items():
+            for i, w in zip(owner, shingled):
+                for p in range(len(h) - size + 1):
+                    here = set(s[p : p + size - leakage.SHINGLE + 1])
+                    if here & w.keys() and sum(v for x, v in w.items() if x in here) >= leakage.NEAR * sum(w.values()):
+                        want.add((d, i))
+                        break
+    df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, item_id string")
+    it = spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, doc_id string")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.near_leaks(df, it).collect()}
+    assert got <= want and len(got) >= 0.9 * len(want) and len(want) > 150 and (402, 0) in got
+    assert got == {(r["doc_id"], r["item_id"]) for r in leakage.near_leaks(df, it, 7).collect()}
+    assert leakage.near_leaks(df.limit(0), it).count() == 0 and leakage.near_leaks(df, it.limit(0)).count() == 0
+    print("recall", len(got) / len(want))
