@@ -1,19 +1,30 @@
 """Schemas that drift between files: one consistent table and a change log.
 
 Method: the schema of every file is read in parallel (one partial aggregate per
-task, so only (file, field, name, type) tuples are shuffled), types are folded
-through a promotion lattice, rows are cast to the union schema, and the ordered
-differences between each file and its predecessor are logged.
+task, so only (file, field, name, type) tuples are shuffled); the types of each field
+are folded through a promotion lattice; files are cast to the union schema that results;
+and the ordered differences between each file and its predecessor are logged.
+
+The lattice, from below: no value; integer < fraction; boolean; array; object; all of
+them below string, in which arrays and objects are their JSON text.  The least upper
+bound of a set of types is the type itself, fraction for integer and fraction, and
+string for all else.  The change log speaks of JSON types, in which integer and
+fraction are one, ``number``.
 
 Defined results
 * null values count as absent; a field of only nulls is absent from its file;
 * several names or types of one field in one file are kept as sets, and a
   change is reported when the sets differ;
+* a block that holds a field under two names keeps the first in the field and the
+  others under their own names;
 * files without records are skipped when looking for the predecessor;
 * files listed twice count once; files without client have no predecessor;
 * fields with equal names in other roles cannot clash: everything travels in
   structs under fixed names, and extra columns of the inputs are ignored;
 * an empty input gives an empty result.
+
+Names of one field are recognised by lists (``ALIASES``): the two fields that clients
+rename are told apart by meaning, which values alone do not give.
 """
 
 from __future__ import annotations
@@ -23,13 +34,12 @@ from pyspark.sql import functions as F
 
 from provenlake.sources.transcripts import CONTENT_NAMES, ERROR_NAMES, content_text, first_present, vget
 
-# Promotion lattice: absent < any single type; integer < fraction < string;
-# boolean < string; array and object only meet in string (their JSON text).
-PROMOTED = {"boolean": "boolean", "integer": "bigint", "number": "double"}
+# SQL type of each element of the lattice; arrays and objects stay variants unless promoted to string
+CAST = {"boolean": "boolean", "integer": "bigint", "fraction": "double", "array": "variant", "object": "variant", "string": "string"}
 
 
-def json_kind(v: Column) -> Column:
-    """string, number, boolean, array or object; null for JSON null."""
+def value_type(v: Column) -> Column:
+    """string, boolean, integer, fraction, array or object; null for JSON null."""
     s = F.schema_of_variant(v)
     return (
         F.when(s == "STRING", "string")
@@ -37,10 +47,22 @@ def json_kind(v: Column) -> Column:
         .when(s.startswith("ARRAY"), "array")
         .when(s.startswith("OBJECT"), "object")
         .when(s == "VOID", None)
-        .otherwise("number")
+        .when(s == "BIGINT", "integer")
+        .otherwise("fraction")
     )
 
 
+def json_type(t: Column) -> Column:
+    """The JSON type of an element of the lattice."""
+    return F.when(t.isin("integer", "fraction"), "number").otherwise(t)
+
+
+def promoted(types: Column) -> Column:
+    """Least upper bound of an array of types without repeats."""
+    numeric = F.forall(types, lambda t: t.isin("integer", "fraction"))
+    return F.when(F.size(types) == 1, types[0]).when(numeric, "fraction").otherwise("string")
+
+
 def meaning(name: str, aliases: dict[str, tuple[str, ...]]) -> Column:
     """The field a name stands for."""
     out = F.col(name)
@@ -53,7 +75,7 @@ ALIASES = {"content": CONTENT_NAMES, "is_error": ERROR_NAMES}
 
 
 def file_schemas(records: DataFrame, file: str, record: str, skip: tuple[str, ...] = ("type", "tool_use_id"), aliases: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """(file, records, fields): ``fields`` maps field -> (sorted names, sorted types).
+    """(file, records, fields): ``fields`` maps field -> (sorted names, sorted types of the lattice).
 
     Keys are folded with map-side partial aggregation before any shuffle.
     """
@@ -62,7 +84,7 @@ def file_schemas(records: DataFrame, file: str, record: str, skip: tuple[str, ..
         "file",
         F.explode_outer(F.filter(F.map_entries("m"), lambda e: ~e["key"].isin(*skip) & ~F.is_variant_null(e["value"]))).alias("e"),
     )
-    named = pairs.select("file", F.col("e.key").alias("name"), json_kind(F.col("e.value")).alias("kind"))
+    named = pairs.select("file", F.col("e.key").alias("name"), value_type(F.col("e.value")).alias("kind"))
     distinct = named.groupBy("file", "name", "kind").agg(F.count("*").alias("n"))
     by_field = (
         distinct.withColumn("field", meaning("name", aliases))
@@ -96,6 +118,10 @@ def with_previous(files: DataFrame, group: str, order: list[str], payload: str,
     )
 
 
+def _json_types(kinds: str) -> Column:
+    return F.array_sort(F.array_distinct(F.transform(kinds, json_type)))
+
+
 def schema_changes(files: DataFrame, schemas: DataFrame) -> DataFrame:
     """(session, field, change_kind) between each file and its client's previous one.
 
@@ -115,24 +141,25 @@ def schema_changes(files: DataFrame, schemas: DataFrame) -> DataFrame:
         F.when(F.col("a").isNull(), "added"),
         F.when(F.col("b").isNull(), "removed"),
         F.when(F.col("a.names") != F.col("b.names"), "renamed"),
-        F.when(F.col("a.kinds") != F.col("b.kinds"), "retyped"),
+        F.when(_json_types("a.kinds") != _json_types("b.kinds"), "retyped"),
     )
     return both.select("session", "field", F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("change_kind"))
 
 
 def union_schema(schemas: DataFrame) -> DataFrame:
-    """(field, names, kinds, promoted, files): the lattice join over all files."""
-    kinds = schemas.select("file", F.explode("fields").alias("field", "s")).select("file", "field", F.explode("s.names").alias("name"), "s.kinds")
-    folded = kinds.select("file", "field", "name", F.explode("kinds").alias("kind")).groupBy("field").agg(
-        F.array_sort(F.collect_set("name")).alias("names"),
-        F.array_sort(F.collect_set("kind")).alias("kinds"),
+    """(field, names, kinds, promoted, files): the lattice join over all files.
+
+    Each task folds its files to one row per field before the shuffle.
+    """
+    kinds = schemas.select("file", F.explode("fields").alias("field", "s"))
+    folded = kinds.groupBy("field").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("s.names")))).alias("names"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("s.kinds")))).alias("kinds"),
         F.count_distinct("file").alias("files"),
     )
-    one = F.size("kinds") == 1
-    promoted = F.when(one & (F.col("kinds")[0] == "boolean"), "boolean").when(one & (F.col("kinds")[0] == "number"), "double").otherwise("string")
     # content and is_error have a fixed meaning, so their target type is fixed too
-    fixed = F.when(F.col("field") == "is_error", "boolean").when(F.col("field") == "content", "string").otherwise(promoted)
-    return folded.withColumn("promoted", fixed)
+    fixed = F.when(F.col("field") == "is_error", "boolean").when(F.col("field") == "content", "string").otherwise(promoted(F.col("kinds")))
+    return folded.withColumn("promoted", fixed).select("field", "names", "kinds", "promoted", "files")
 
 
 def as_boolean(v: Column) -> Column:
@@ -145,15 +172,38 @@ def as_boolean(v: Column) -> Column:
     )
 
 
-def consistent_results(results: DataFrame) -> DataFrame:
-    """One table of tool results: session, seq, block, tool_use_id, content, is_error, other.
+def cast_to(v: Column, kind: str) -> Column:
+    """A VARIANT as a type of the lattice at or above its own; strings of arrays and objects are their JSON text."""
+    if kind != "string":
+        return F.try_variant_get(v, "$", CAST[kind])
+    s = F.schema_of_variant(v)
+    return F.when(s.startswith("ARRAY") | s.startswith("OBJECT"), F.to_json(v)).otherwise(F.try_variant_get(v, "$", "string"))
+
+
+def consistent_results(results: DataFrame, union: DataFrame | None = None) -> DataFrame:
+    """One table of tool results: session, seq, block, tool_use_id, content, is_error, and a struct ``fields`` of all others.
 
-    ``results`` has session, seq, block and the block ``b`` as VARIANT.
-    ``content`` is the text of the content under whatever name and shape, ``is_error``
-    a boolean; the remaining fields are cast to string in the map ``other``, so a
-    field that appears tomorrow needs no change of the table.
+    ``results`` has session, seq, block and the block ``b`` as VARIANT; ``union`` is what
+    ``union_schema`` gives (of the results themselves where it is not given), one row per
+    field, which is collected: it is the table's schema.  ``content`` is the text of the
+    content under whatever name and shape, ``is_error`` a boolean, every further field has
+    its promoted type.  A second name of content or is_error in one block is a field of its
+    own, as string.  Names that differ in case only are numbered.
     """
-    known = ("type", "tool_use_id", *CONTENT_NAMES, *ERROR_NAMES)
-    c = results.withColumn("_c", first_present("b", CONTENT_NAMES)).withColumn("_e", first_present("b", ERROR_NAMES))
-    rest = F.map_filter(vget("b", "$", "map<string,string>"), lambda k, v: ~k.isin(*known) & v.isNotNull())
-    return c.select("session", "seq", "block", vget("b", "$.tool_use_id", "string").alias("tool_use_id"), content_text("_c").alias("content"), as_boolean(F.col("_e")).alias("is_error"), rest.alias("other"))
+    union = union_schema(file_schemas(results, "session", "b")) if union is None else union
+    schema = {r["field"]: (r["names"], r["promoted"]) for r in union.collect()}
+    m = F.col("_m")
+    columns = {n: cast_to(m[n], kind) for n, (_, kind) in sorted(schema.items()) if n not in ALIASES}
+    for f, names in ALIASES.items():
+        for k, n in enumerate(names):
+            if k and n in schema.get(f, ((), ""))[0]:
+                columns[n] = F.when(F.coalesce(*[m[x] for x in names[:k]]).isNotNull(), cast_to(m[n], "string"))
+    seen: dict[str, int] = {}
+    named = []
+    for n, c in columns.items():
+        seen[n.lower()] = seen.get(n.lower(), 0) + 1
+        named.append(c.alias(n if seen[n.lower()] == 1 else f"{n}_{seen[n.lower()]}"))
+    present = F.map_filter(vget("b", "$", "map<string,variant>"), lambda k, v: v.isNotNull() & ~F.is_variant_null(v))
+    c = results.select("session", "seq", "block", vget("b", "$.tool_use_id", "string").alias("tool_use_id"), present.alias("_m"), first_present("b", CONTENT_NAMES).alias("_c"), first_present("b", ERROR_NAMES).alias("_e"))
+    fields = F.struct(*named) if named else F.struct(F.lit(None).cast("string").alias("none"))
+    return c.select("session", "seq", "block", "tool_use_id", content_text("_c").alias("content"), as_boolean(F.col("_e")).alias("is_error"), fields.alias("fields"))

@@ -20,9 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from provenlake.sources.transcripts import CONTENT_NAMES, first_present, vget
-
-DIGEST = r'\\*"result_digest\\*"\s*:\s*\\*"([^"\\]*)'
+from provenlake.sources.transcripts import CONTENT_NAMES, field, first_present, string_of, vget
 
 
 def decoded(v: Column) -> Column:
@@ -58,14 +56,32 @@ def facts_of(v: Column) -> Column:
 
 
 def digest_of(meta: Column) -> Column:
-    d = decoded(meta)
-    own = F.try_variant_get(d, "$.result_digest", "string")
-    deep = F.regexp_extract(F.to_json(d), DIGEST, 1)
-    return F.coalesce(F.nullif(own, F.lit("")), deep, F.lit(""))
+    """The first ``result_digest`` that is a string and not empty, level by level, decoded or not; null where there is none.
+
+    The levels below the first are only walked where the name stands in the text at all; a
+    text has no more levels than brackets, so the walk has an end for any depth.
+    """
+    own = lambda d: F.nullif(string_of(field(d, "result_digest")), F.lit(""))
+    text = F.to_json(decoded(meta))
+    levels = F.when(text.contains("result_digest"), F.length(F.regexp_replace(text, r"[^\[{]", ""))).otherwise(0)
+    none = F.array().cast("array<variant>")
+
+    def deeper(state: Column, _: Column) -> Column:
+        below = F.flatten(F.transform(state["level"], lambda d: F.transform(F.coalesce(values(d), none), decoded)))
+        step = F.struct(F.get(F.filter(F.transform(below, own), lambda x: x.isNotNull()), F.lit(0)).alias("found"), below.alias("level"))
+        return F.when(state["found"].isNotNull() | (F.size(state["level"]) == 0), state).otherwise(step)
+
+    start = F.struct(own(decoded(meta)).alias("found"), F.array(decoded(meta)).alias("level"))
+    return F.coalesce(own(decoded(meta)), F.when(levels > 0, F.aggregate(F.sequence(F.lit(1), levels), start, deeper)["found"]))
 
 
 def artifacts_table(docs: DataFrame) -> DataFrame:
     """(root, node, item, piece, mode, digest): one row per artifact that is not null."""
+    return artifact_values(docs).drop("kind", "value")
+
+
+def artifact_values(docs: DataFrame) -> DataFrame:
+    """As ``artifacts_table``, with the artifact's kind and value."""
 
     def of_fact(e: Column) -> Column:
         fact = e["fact"]
@@ -83,32 +99,35 @@ def artifacts_table(docs: DataFrame) -> DataFrame:
                     F.lit(-1).cast("long").alias("piece"),
                     mode.alias("mode"),
                     F.coalesce(digest_of(F.try_variant_get(decoded(x), "$.meta", "variant")), F.lit("")).alias("digest"),
+                    F.try_variant_get(decoded(x), "$.kind", "string").alias("kind"),
+                    F.coalesce(F.try_variant_get(decoded(x), "$.value", "string"), string_of(decoded(x))).alias("value"),
                 ),
             ),
         )
-        return F.coalesce(F.filter(rows, lambda r: r.isNotNull()), F.array().cast("array<struct<node:string,item:bigint,piece:bigint,mode:string,digest:string>>"))
+        return F.coalesce(F.filter(rows, lambda r: r.isNotNull()), F.array().cast("array<struct<node:string,item:bigint,piece:bigint,mode:string,digest:string,kind:string,value:string>>"))
 
     facts = F.filter(facts_of(F.col("v")), lambda e: is_kind(e["fact"], "OBJECT"))
     return newest_documents(docs).select("root", F.inline(F.flatten(F.transform(facts, of_fact))))
 
 
 def facts_table(docs: DataFrame) -> DataFrame:
-    """(root, item, node, kind, mode, artifacts): one row per fact, with its position."""
-    facts = F.filter(facts_of(F.col("v")), lambda e: is_kind(e["fact"], "OBJECT"))
+    """(root, item, node, kind, claim, evidence, next, mode, artifacts): one row per fact that is an object, with its position among all."""
 
     def row(e: Column, i: Column) -> Column:
         fact = e["fact"]
         a = decoded(F.try_variant_get(fact, "$.artifacts", "variant"))
         n = F.when(is_kind(a, "ARRAY"), F.size(F.try_variant_get(a, "$", "array<variant>"))).when(is_kind(a, "OBJECT"), 1).otherwise(0)
-        return F.struct(
+        own = F.struct(
             i.cast("long").alias("item"),
             F.coalesce(F.try_variant_get(fact, "$.id", "string"), e["key"], F.lit("")).alias("node"),
-            F.try_variant_get(fact, "$.kind", "string").alias("kind"),
+            *[F.try_variant_get(fact, f"$.{n}", "string").alias(n) for n in ("kind", "claim", "evidence", "next")],
             F.coalesce(F.try_variant_get(decoded(F.try_variant_get(fact, "$.meta", "variant")), "$.mode", "string"), F.lit("")).alias("mode"),
             n.cast("long").alias("artifacts"),
         )
+        return F.when(is_kind(fact, "OBJECT"), own)
 
-    return newest_documents(docs).select("root", F.inline(F.transform(facts, row)))
+    rows = F.filter(F.transform(facts_of(F.col("v")), row), lambda r: r.isNotNull())
+    return newest_documents(docs).select("root", F.inline(rows))
 
 
 def content_pieces(results: DataFrame) -> DataFrame:

@@ -24,15 +24,18 @@ def p2_union_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_tool_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = drift.consistent_results(tool_results(spark, sf_dir))
-    other = F.array_join(F.array_sort(F.transform(F.map_entries("other"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
-    return r.withColumn("other", other)
+    results = tool_results(spark, sf_dir)
+    return drift.consistent_results(results, drift.union_schema(drift.file_schemas(results, "session", "b"))).select("session", "seq", "block", "tool_use_id", "content", "is_error", "fields.*")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten.artifacts_table(read_table(spark, sf_dir, "session_docs")).unionByName(flatten.content_pieces(tool_results(spark, sf_dir)))
 
 
+def p4_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flatten.artifact_values(read_table(spark, sf_dir, "session_docs"))
+
+
 def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flatten.content_pieces(tool_results(spark, sf_dir))
 
@@ -42,7 +45,7 @@ def p4_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p2_found, p2_union_schema, p2_tool_results, p4_found, p4_pieces, p4_facts)}
+    return {f.__name__: f for f in (p2_found, p2_union_schema, p2_tool_results, p4_found, p4_artifacts, p4_pieces, p4_facts)}
 
 
 LINES = "l AS (SELECT session, seq, min_by(raw, line_id) AS raw FROM transcript_lines WHERE json_valid(raw) AND trim(raw) <> '' AND session IS NOT NULL AND seq IS NOT NULL GROUP BY 1, 2)"
