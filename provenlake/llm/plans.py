@@ -63,8 +63,9 @@ def p6_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _owned_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contents of tool_results, as a written table: they are read for the index, the search and the lines."""
     texts = result_texts(read_table(spark, sf_dir, "transcript_lines"), keep=("project",))
-    return texts.withColumn("owner", F.coalesce("project", "session"))
+    return written(texts.select("session", "seq", "block", "text", F.coalesce("project", "session").alias("owner")))[0]
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
