@@ -7,6 +7,7 @@ boundaries Unicode-aware, ``(?d)`` lets only a newline end a line.
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -93,6 +94,7 @@ WIDE_NET = r"\b(?:tests?|spec|suite|pytest|jest|vitest|cargo|unittest|pass(?:ed|
 # --- End of fixed values ----------------------------------------------------
 
 U, UI = "(?Ud)", "(?Udi)"
+CUT = "\x01"
 
 
 def has(c: Column, pattern: str, flags: str = UI) -> Column:
@@ -108,8 +110,8 @@ def sentences(text: Column) -> Column:
 
 
 def probe(sentence: Column) -> Column:
-    """A sentence without what it quotes."""
-    return F.regexp_replace(sentence, U + QUOTED, " ")
+    """A sentence without what it quotes, and without the sign that marks a match below."""
+    return F.regexp_replace(F.translate(sentence, CUT, ""), U + QUOTED, " ")
 
 
 def any_claim(p: Column) -> Column:
@@ -170,11 +172,11 @@ def let(value: Column, body) -> Column:
 
 
 def claim_state(kind: str, p: Column) -> Column:
-    """claim, refused (no assertion) or null for one kind of one probe."""
-    split = rf"(?Ud)(?i)^((?s:.*?))((?:{CLAIM[kind]}))"
+    """claim, refused (no assertion) or null for one kind of one probe; the pattern runs once."""
+    split = rf"(?Ud)(?i)^((?s:.*?))((?:{CLAIM[kind]}))((?s:.*))$"
 
     def judged(m: Column) -> Column:
-        before, match, after = m["before"], m["match"], m["after"]
+        before, match, after = m[0], m[1], m[2]
         counts = ~has(before, REPORTED) & in_context(kind, p, before, match, after) & ~title(before, match, after)
 
         def asserted(own: Column) -> Column:
@@ -182,14 +184,14 @@ def claim_state(kind: str, p: Column) -> Column:
             return ~has(own, NEGATION) & let(upto, lambda u: ~any_of([has(u, x) for x in NOT_ASSERTED]))
 
         states = ~partial_result(p) & let(_own_words(clause(before, match, after)), asserted)
-        return F.when(counts, F.when(states, "claim").otherwise("refused"))
+        return F.when(F.size(m) > 1, F.when(counts, F.when(states, "claim").otherwise("refused")))
 
-    def rest(m: Column) -> Column:
-        after = F.substr(p, F.char_length(m["before"]) + F.char_length(m["match"]) + 1)
-        return let(F.struct(m["before"].alias("before"), m["match"].alias("match"), after.alias("after")), judged)
+    return let(F.split(F.regexp_replace(p, split, f"$1{CUT}$2{CUT}$%d" % _groups(CLAIM[kind])), CUT), judged)
 
-    found = F.struct(F.regexp_extract(p, split, 1).alias("before"), F.regexp_extract(p, split, 2).alias("match"))
-    return F.when(has(p, CLAIM[kind]), let(found, rest))
+
+def _groups(pattern: str) -> int:
+    """Number of the group behind a pattern that is the second of three."""
+    return re.compile(f"()({pattern})()").groups
 
 
 def claims_of(p: Column) -> Column:

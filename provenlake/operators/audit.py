@@ -11,7 +11,9 @@ session of any length never sits in one window frame.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provenlake.functions import grammar as G
@@ -23,7 +25,7 @@ STRETCH = 4096
 
 
 def events(blocks: DataFrame) -> DataFrame:
-    """(session, seq, idx, etype, tool_id, tool, command, body, is_error, text).
+    """(session, seq, idx, etype, tool_id, tool, command, file_path, input, body, is_error, text).
 
     ``blocks`` has session, seq, ltype, block, btype and b (VARIANT).  Texts and calls
     come from assistant lines, results from all others.
@@ -41,12 +43,23 @@ def events(blocks: DataFrame) -> DataFrame:
         F.when(F.col("etype") == "use", field(b, "id", "string")).when(F.col("etype") == "result", field(b, "tool_use_id", "string")).alias("tool_id"),
         F.when(F.col("etype") == "use", F.coalesce(field(b, "name", "string"), F.lit(""))).alias("tool"),
         F.when(F.col("etype") == "use", command).alias("command"),
+        F.when(F.col("etype") == "use", field(inp, "file_path", "string")).alias("file_path"),
+        F.when(F.col("etype") == "use", described(inp)).alias("input"),
         F.when(F.col("etype") == "result", F.coalesce(content_text(first_present(b, CONTENT_NAMES)), F.lit(""))).alias("body"),
         F.when(F.col("etype") == "result", as_boolean(first_present(b, ERROR_NAMES))).alias("is_error"),
         F.when(F.col("etype") == "text", string_of(field(b, "text"))).alias("text"),
     )
 
 
+INPUT_NAMES = ("command", "cmd", "path", "file_path", "pattern", "query", "url")
+
+
+def described(inp) -> Column:
+    """A call's input in at most 300 characters: the first of its usual fields, else its JSON."""
+    own = [F.when(field(inp, n).isNotNull(), F.coalesce(field(inp, n, "string"), F.to_json(field(inp, n)))) for n in INPUT_NAMES]
+    return F.substring(F.coalesce(*own, F.to_json(inp), F.lit("{}")), 1, 300)
+
+
 def paired(ev: DataFrame) -> DataFrame:
     """Calls with the first result after them: a result counts if the row of its id before it is a call."""
     w = Window.partitionBy("session", "tool_id").orderBy("seq", "idx")
@@ -96,9 +109,10 @@ def graded_sentences(ev: DataFrame) -> DataFrame:
     return g.select("session", "seq", "idx", "pos", "sentence", G.hint_of(F.col("sentence")).alias("hint"), "_c.kinds", "_c.refused")
 
 
-def claims(ev: DataFrame) -> DataFrame:
+def claims(grades: DataFrame) -> DataFrame:
+    """One row per claim of ``graded_sentences``."""
     # explode_outer: plain explode lets the optimizer test the kinds in a filter of its own, and so grade twice
-    return graded_sentences(ev).select("session", "seq", "idx", "pos", "sentence", "hint", F.explode_outer("kinds").alias("kind")).where("kind is not null")
+    return grades.select("session", "seq", "idx", "pos", "sentence", "hint", F.explode_outer("kinds").alias("kind")).where("kind is not null")
 
 
 def with_evidence(claims_: DataFrame, commands_: DataFrame) -> DataFrame:
@@ -139,32 +153,43 @@ def verdicts(graded: DataFrame) -> DataFrame:
         .when(last["ok"], F.when(yes(test & (last["reported_fail"] > 0)) | yes(cut) | yes(short), "unsupported").when(yes(weak), "supported_weak").otherwise("supported"))
         .otherwise("unsupported")
     )
+    # What the evidence says.
     evidence = (
         F.when(last.isNull(), None)
-        .when((last["ok"] == False) & yes(covered), F.concat(at, F.lit("the run failed overall but printed "), last["reported_pass"].cast("string"), F.lit(" passed, so it says nothing about "), loose.cast("string")))  # noqa: E712
-        .when(last["ok"] & yes(test & (last["reported_fail"] > 0)), F.concat(ran80, F.lit(" - its output counts "), last["reported_fail"].cast("string"), F.lit(" failed")))
-        .when(last["ok"] & yes(cut), F.concat(ran80, F.lit(" - a selected run says nothing about what it left out")))
-        .when(last["ok"] & yes(short), F.concat(at, F.lit("the run printed "), last["reported_pass"].cast("string"), F.lit(" passed, the claim says "), n.cast("string")))
+        .when((last["ok"] == False) & yes(covered), F.concat(at, F.lit("that run failed overall but reported "), last["reported_pass"].cast("string"), F.lit(" passed; it cannot check a claim about "), loose.cast("string")))  # noqa: E712
+        .when(last["ok"] & yes(test & (last["reported_fail"] > 0)), F.concat(ran80, F.lit(" — its output reports "), last["reported_fail"].cast("string"), F.lit(" failed")))
+        .when(last["ok"] & yes(cut), F.concat(ran80, F.lit(" — a filtered run establishes nothing about the tests it did not select")))
+        .when(last["ok"] & yes(short), F.concat(at, F.lit("the run reported "), last["reported_pass"].cast("string"), F.lit(" passed; the claim states "), n.cast("string")))
         .otherwise(ran)
     )
     text = F.substring(F.regexp_replace(s, r"(?U)^\s+|\s+$", ""), 1, 160)
     return graded.select("session", "seq", "idx", "pos", "kind", text.alias("text"), verdict.alias("verdict"), evidence.alias("evidence"))
 
 
-def audit(ev: DataFrame) -> DataFrame:
-    return verdicts(with_evidence(claims(ev), commands(ev)))
+def audit(ev: DataFrame, grades: DataFrame | None = None) -> DataFrame:
+    """``grades`` is ``graded_sentences(ev)``, where the caller has it already."""
+    return verdicts(with_evidence(claims(graded_sentences(ev) if grades is None else grades), commands(ev)))
 
 
-def session_rollup(ev: DataFrame, graded: DataFrame) -> DataFrame:
+def session_rollup(ev: DataFrame, graded: DataFrame, sessions: DataFrame | None = None, grades: DataFrame | None = None) -> DataFrame:
     """One row per session: counts by verdict, commands, events, refused sentences, exit code.
 
-    Exit codes: 3 no transcript, 2 something contradicted, 1 something unsupported, else 0.
+    Exit codes: 3 no transcript (no event was read), 2 something contradicted, 1 something unsupported, else 0.
+    ``sessions`` (session) lists the sessions that get a row; those with events where it is not given.  All counts
+    come from one grouped pass over narrow rows.
     """
     names = ("supported", "supported_weak", "unsupported", "contradicted")
-    v = graded.groupBy("session").agg(*[F.count_if(F.col("verdict") == n).alias(n) for n in names])
-    r = graded_sentences(ev).groupBy("session").agg(F.count_if("refused").alias("not_asserted"))
-    e = ev.groupBy("session").agg(F.count("*").alias("parsed_events"), F.max(F.when(F.col("etype") != "result", F.col("seq"))).alias("lines"))
-    c = paired(ev).groupBy("session").agg(F.count("*").alias("commands"))
-    out = e.join(c, "session", "left").join(v, "session", "left").join(r, "session", "left").na.fill(0)
+    one = lambda c: c.cast("long")
+    parts = [
+        ev.select("session", F.lit(1).cast("long").alias("parsed_events"), F.when(F.col("etype") != "result", F.col("seq")).alias("lines")),
+        paired(ev).select("session", F.lit(1).cast("long").alias("commands")),
+        graded.select("session", *[one(F.col("verdict") == n).alias(n) for n in names]),
+        (graded_sentences(ev) if grades is None else grades).where("refused").select("session", F.lit(1).cast("long").alias("not_asserted")),
+    ]
+    if sessions is not None:
+        parts.append(sessions.where("session is not null").select("session"))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
+    out = rows.groupBy("session").agg(total("parsed_events"), F.coalesce(F.max("lines"), F.lit(0)).alias("lines"), total("commands"), *map(total, names), total("not_asserted"))
     code = F.when(F.col("parsed_events") == 0, 3).when(F.col("contradicted") > 0, 2).when(F.col("unsupported") > 0, 1).otherwise(0)
     return out.withColumn("exit_code", code.cast("long"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # --- Fixed values: effects read off a command line, and rules for what is unreadable, first one wins.
@@ -16,15 +18,15 @@ LOCAL = r"^(?:localhost|127\.0\.0\.1|0\.0\.0\.0|\[::1\])"
 NOWHERE = ("/dev/null", "/dev/stdout", "/dev/stderr")
 WRITE_TOOLS = ("Write", "Edit", "NotebookEdit", "MultiEdit")
 OPAQUE = (
-    (r"\beval\b", "code built at run time"),
-    (r"\bsource\s+|\.\s+/", "runs the contents of another file"),
+    (r"\beval\b", "eval — constructs code at runtime"),
+    (r"\bsource\s+|\.\s+/", "source — runs another file's contents"),
     (r"(?:curl|wget)[^\n]*\|\s*(?:ba|z|)sh\b", "download piped into a shell"),
-    (r"\bbase64\s+(?:-d|--decode)[^\n]*\|", "decoded text piped on"),
+    (r"\bbase64\s+(?:-d|--decode)[^\n]*\|", "base64 decoded into execution"),
     (r"\b(?:ba|z|)sh\s+[^\s-][^\n;&|]*\.(?:sh|bash)\b", "runs a script file"),
     (r"\b(?:python3?|node|ruby|perl)\s+[^\s-][^\n;&|]*\.(?:py|js|rb|pl)\b", "runs a program file"),
     (r"\$\((?!\s*(?:pwd|date|basename|dirname|echo)\b)", "command substitution"),
     (r"\bmake\b|\bnpm\s+run\b|\byarn\s+\w+", "delegates to a script target"),
-    (r"\bdocker\s+run\b|\bssh\b", "runs in another environment"),
+    (r"\bdocker\s+run\b|\bssh\b", "executes in another environment"),
 )
 
 
@@ -57,14 +59,30 @@ def reach(ev: DataFrame) -> DataFrame:
     paths = F.concat(F.regexp_extract_all(c, F.lit(REDIRECT), 1), F.regexp_extract_all(c, F.lit(MUTATION), 1))
     files = F.filter(F.transform(paths, lambda p: F.regexp_replace(trimmed(p), r"^[\"']+|[\"']+$", "")), lambda p: (p != "") & ~p.startswith("-") & ~p.isin(*NOWHERE) & (F.char_length(p) < 200))
     shell = shell_commands(ev).select("session", F.explode(F.concat(tagged("host", F.concat(hosts, api)), tagged("push", pushes), tagged("install", installs), tagged("file", files))).alias("r")).select("session", "r.what", "r.value")
-    tools = ev.where(F.col("tool").isin(*WRITE_TOOLS) & (F.col("etype") == "use") & (F.col("command") != "")).select("session", F.lit("file").alias("what"), F.col("command").alias("value"))
+    tools = ev.where(F.col("tool").isin(*WRITE_TOOLS) & (F.col("etype") == "use") & (F.col("file_path") != "")).select("session", F.lit("file").alias("what"), F.col("file_path").alias("value"))
     return shell.unionByName(tools).distinct()
 
 
-def summary(ev: DataFrame) -> DataFrame:
-    """One row per session with counts; ``bounded`` where something is unreadable."""
-    e = ev.groupBy("session").agg(F.count("*").alias("parsed_events"), F.count_if((F.col("etype") == "use") & (F.col("tool") == "Bash")).alias("commands"))
-    r = reach(ev).groupBy("session").agg(*[F.count_if(F.col("what") == w).alias(n) for w, n in (("file", "files"), ("host", "hosts"), ("push", "pushes"), ("install", "installs"))])
-    o = opaque(ev).groupBy("session").agg(F.count("*").alias("opaque"))
-    out = e.join(r, "session", "left").join(o, "session", "left").na.fill(0)
+def summary(ev: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """One row per session with counts; exit code 3 without any event, 1 where something is unreadable, else 0.
+
+    ``sessions`` (session) lists the sessions that get a row; those with events where it is not given.
+    """
+    n = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    one = lambda c: c.cast("long")
+    kinds = (("file", "files"), ("host", "hosts"), ("push", "pushes"), ("install", "installs"))
+    e = ev.select("session", F.lit(1).cast("long").alias("parsed_events"), one((F.col("etype") == "use") & (F.col("tool") == "Bash")).alias("commands"))
+    parts = [e, reach(ev).select("session", *[one(F.col("what") == w).alias(c) for w, c in kinds]), opaque(ev).select("session", F.lit(1).cast("long").alias("opaque"))]
+    if sessions is not None:
+        parts.append(sessions.where("session is not null").select("session"))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    out = rows.groupBy("session").agg(*[n(c).alias(c) for c in ("parsed_events", "commands", *(c for _, c in kinds), "opaque")])
     return out.withColumn("exit_code", F.when(F.col("parsed_events") == 0, 3).when(F.col("opaque") > 0, 1).otherwise(0).cast("long"))
+
+
+def shown(reached: DataFrame, first: int | None = 8) -> DataFrame:
+    """(session, what, n, values): the sorted values of each kind, the first ones only unless ``first`` is None."""
+    rank = F.row_number().over(Window.partitionBy("session", "what").orderBy("value"))
+    r = reached.withColumn("_n", rank)
+    kept = F.when(F.col("_n") <= first, F.struct("_n", "value")) if first else F.struct("_n", "value")
+    return r.groupBy("session", "what").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(kept)), lambda x: x["value"]).alias("values"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from provenlake.functions import redact
 from provenlake.operators import audit, evalkit, flatten, ledger, scope
+from provenlake.session import written
 from provenlake.sources.adapters import event_lines
 from provenlake.sources.transcripts import blocks, canonical_lines, read_table
 
@@ -53,6 +54,13 @@ def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.events(blocks(canonical_lines(read_table(spark, sf_dir, "transcript_lines"))))
 
 
+def _rollup(ev: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """Events and graded sentences are read several times: both are written once."""
+    ev, _ = written(ev)
+    grades, _ = written(audit.graded_sentences(ev))
+    return audit.session_rollup(ev, audit.audit(ev, grades), sessions, grades)
+
+
 def audit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(_events(spark, sf_dir)).groupBy("verdict").agg(F.count("*").alias("n"))
 
@@ -66,8 +74,7 @@ def audit_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _events(spark, sf_dir)
-    return audit.session_rollup(ev, audit.audit(ev)).select("session", "supported", "unsupported", "contradicted", "commands", "parsed_events", "not_asserted", "exit_code")
+    return _rollup(_events(spark, sf_dir)).select("session", "supported", "unsupported", "contradicted", "commands", "parsed_events", "not_asserted", "exit_code")
 
 
 def tool_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +103,7 @@ def session_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ev = _recorded(spark, sf_dir)
-    return audit.session_rollup(ev, audit.audit(ev))
+    return _rollup(_recorded(spark, sf_dir), read_table(spark, sf_dir, "transcript_files"))
 
 
 def session_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
