@@ -122,6 +122,20 @@ def _json_types(kinds: str) -> Column:
     return F.array_sort(F.array_distinct(F.transform(kinds, json_type)))
 
 
+def with_count(rows: DataFrame, group: str, order: list[str], flag: Column, bucket: Column, name: str) -> DataFrame:
+    """Adds ``name``: how many rows of the group up to and with this one have the flag.
+
+    In two levels, as above: inside (group, bucket), and over one row per bucket.  Buckets follow the order.
+    """
+    own = rows.withColumn("_bucket", bucket).withColumn("_flag", F.coalesce(flag, F.lit(False)))
+    inner = Window.partitionBy(group, "_bucket").orderBy(*[F.col(o).asc_nulls_first() for o in order]).rowsBetween(Window.unboundedPreceding, 0)
+    outer = Window.partitionBy(group).orderBy(F.col("_bucket").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    sums = own.groupBy(group, "_bucket").agg(F.count_if("_flag").alias("_own"))
+    before = sums.select(F.col(group).alias("_g"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_own").over(outer), F.lit(0)).alias("_before"))
+    counted = own.withColumn("_upto", F.count_if("_flag").over(inner))
+    return counted.join(before, F.col(group).eqNullSafe(F.col("_g")) & F.col("_bucket").eqNullSafe(F.col("_b"))).withColumn(name, F.col("_upto") + F.col("_before")).drop("_bucket", "_flag", "_upto", "_g", "_b", "_before")
+
+
 def schema_changes(files: DataFrame, schemas: DataFrame) -> DataFrame:
     """(session, field, change_kind) between each file and its client's previous one.
 

@@ -70,7 +70,7 @@ def audit_varied_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit(_events(spark, sf_dir, varied, counted_claim)).select("session", "seq", "kind", "text", "verdict")
+    return audit.audit(_events(spark, sf_dir, varied, counted_claim)).select("session", "seq", "kind", "text", "verdict", "evidence")
 
 
 def audit_session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def tool_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def prior_calls_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = evalkit.prior_calls(_events(spark, sf_dir))
-    return c.select("session", "seq", F.array_join(F.transform("calls", lambda x: x["line"].cast("string")), ",").alias("lines"))
+    return c.select("session", "seq", F.array_join(F.transform("calls", lambda x: x["line"].cast("string")), ",").alias("lines"), F.array_join(F.transform("calls", lambda x: F.concat(F.when(x["is_error"], "T").when(~x["is_error"], "F").otherwise("-"), F.length(x["result_tail"]).cast("string"))), ",").alias("results"))
 
 
 def scope_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +91,7 @@ def scope_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scope_opaque(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scope.opaque(_events(spark, sf_dir, reaching)).select("session", "seq", "command")
+    return scope.opaque(_events(spark, sf_dir, reaching)).select("session", "seq", "command", "why")
 
 
 def scope_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,6 +106,20 @@ def session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rollup(_recorded(spark, sf_dir), read_table(spark, sf_dir, "transcript_files"))
 
 
+def session_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the scope report says of each recorded file before any effect: events, commands, and exit code 3 where nothing was read."""
+    s = scope.summary(_recorded(spark, sf_dir), read_table(spark, sf_dir, "transcript_files"))
+    return s.select("session", "parsed_events", "commands", (F.col("exit_code") == 3).alias("no_transcript"))
+
+
+def session_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope.shown(scope.reach(_recorded(spark, sf_dir))).withColumn("values", F.array_join("values", "\n"))
+
+
+def scope_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scope.shown(scope.reach(_events(spark, sf_dir, reaching)), 3).withColumn("values", F.array_join("values", ","))
+
+
 def session_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scope.reach(_recorded(spark, sf_dir))
 
@@ -148,7 +162,7 @@ def hash_chain_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hash_chain_tamper(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = ledger.build_chain(_order_facts(spark, sf_dir).drop("truth"), "chain", ["o_orderdate", "o_orderkey"], "payload")
     forged = c.withColumn("payload", F.when(F.col("o_orderkey") % 97 == 0, F.concat("payload", F.lit("!"))).otherwise(F.col("payload")))
-    return ledger.verify_chain(forged, "chain", ["o_orderdate", "o_orderkey"], "payload")
+    return ledger.verify_chain(forged, "chain", ["o_orderdate", "o_orderkey"], "payload", F.date_trunc("year", "o_orderdate"))
 
 
 def conformance_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,7 +254,7 @@ def latest_file_of_client(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     fs = (
         audit_verdicts, audit_varied_verdicts, audit_claims, audit_session_rollup, tool_pairs, prior_calls_context, scope_reach, scope_opaque, scope_summary,
-        session_claims, session_rollup, session_scope, session_orphans, session_candidates, session_facts, document_chain_status,
+        session_claims, session_rollup, session_scope, session_reach, session_event_counts, scope_shown, session_orphans, session_candidates, session_facts, document_chain_status,
         fact_truth_counts, fact_report, hash_chain_heads, hash_chain_tamper, conformance_facts, conformance_summary,
         checklist_profiles, redact_documents, redact_leaks, corpus_manifest, wide_net_by_kind, sample_random_stratum, confusion_matrix, detection_rates, latest_file_of_client,
         pool_sessions, pool_strata, stratified_pick, unseen_sources, lesson_hints, recorded_blocks,
@@ -250,16 +264,27 @@ def queries() -> dict:
 
 E_ = "e AS (SELECT event_id, user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events)"
 W_ = f"""{E_}, w AS (SELECT *, last_value(CASE WHEN event_type IN ('click', 'error') THEN event_type END IGNORE NULLS) OVER p AS last,
- last_value(CASE WHEN event_type IN ('click', 'error') THEN event_id % 5 END IGNORE NULLS) OVER p AS how
+ last_value(CASE WHEN event_type IN ('click', 'error') THEN event_id % 5 END IGNORE NULLS) OVER p AS how,
+ last_value(CASE WHEN event_type IN ('click', 'error') THEN pos END IGNORE NULLS) OVER p AS place
  FROM e WINDOW p AS (PARTITION BY user_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
 VERDICT = "CASE last WHEN 'click' THEN 'supported' WHEN 'error' THEN 'contradicted' ELSE 'unsupported' END"
 VARIED_VERDICT = "CASE WHEN last IS NULL THEN 'unsupported' WHEN last = 'error' THEN 'contradicted' WHEN how = 2 OR event_id % 3 = 0 THEN 'unsupported' WHEN how IN (1, 3) THEN 'supported_weak' ELSE 'supported' END"
+VARIED_COMMAND = "CASE how WHEN 1 THEN 'pytest -q | tail -3' WHEN 2 THEN 'pytest -q -k fast' WHEN 3 THEN 'pytest -q; true' WHEN 4 THEN 'CI=1 python3 -m pytest -q tests' ELSE 'pytest -q' END"
+VARIED_EVIDENCE = f"""CASE WHEN last IS NOT NULL THEN 'line ' || (2 * place - 1) || ': ' || CASE WHEN last = 'click' AND how = 2 THEN 'pytest -q -k fast — a filtered run establishes nothing about the tests it did not select'
+ WHEN last = 'click' AND event_id % 3 = 0 THEN 'the run reported 12 passed; the claim states 20' ELSE {VARIED_COMMAND} END END"""
 FACTS_ = "f AS (SELECT o_custkey AS chain, o_orderkey, o_orderdate, o_orderkey::VARCHAR || ':' || o_orderstatus AS payload, CASE o_orderstatus WHEN 'F' THEN 'proven' WHEN 'P' THEN 'illusion' ELSE 'claimed' END AS truth FROM orders)"
 RATED_ = """r AS (SELECT DISTINCT doc_id, rater, label FROM doc_labels WHERE label IS NOT NULL), n AS (SELECT doc_id, label, count(*) AS n FROM r GROUP BY 1, 2),
  t AS (SELECT doc_id, label AS truth FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, label DESC) AS k FROM n) WHERE k = 1), x AS (SELECT r.*, truth FROM r JOIN t USING (doc_id))"""
+RUNS_ = "n AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY coalesce(started_at, '9999-12-31'::TIMESTAMP), coalesce(result_digest, '')) AS k FROM conformance_runs WHERE run_id IS NOT NULL) WHERE k = 1)"
 REACH_CMD = "CASE WHEN event_type = 'view' THEN 'host' WHEN event_id % 3 = 0 THEN 'install' WHEN event_id % 3 = 1 THEN 'push' ELSE 'opaque' END"
 
 
+EVENTS_ = """l AS (SELECT session, seq, min_by(raw, line_id) AS raw FROM transcript_lines WHERE json_valid(raw) AND trim(raw) <> '' AND session IS NOT NULL AND seq IS NOT NULL GROUP BY 1, 2),
+ b AS (SELECT session, seq, raw->>'$.type' AS lt, unnest(json_extract(raw, '$.message.content[*]')) AS b, unnest(range(json_array_length(raw, '$.message.content')::BIGINT)) AS idx FROM l WHERE json_type(raw) = 'OBJECT' AND json_type(raw, '$.message.content') = 'ARRAY'),
+ x AS (SELECT session, seq, idx, t, CASE t WHEN 'use' THEN b->>'$.id' WHEN 'result' THEN b->>'$.tool_use_id' END AS id, b->>'$.name' AS tool FROM (SELECT *, CASE WHEN lt = 'assistant' AND b->>'$.type' = 'text' AND json_type(b, '$.text') = 'VARCHAR' AND b->>'$.text' <> '' THEN 'text'
+  WHEN lt = 'assistant' AND b->>'$.type' = 'tool_use' THEN 'use' WHEN lt IS DISTINCT FROM 'assistant' AND b->>'$.type' = 'tool_result' THEN 'result' END AS t FROM b WHERE json_type(b) = 'OBJECT') WHERE t IS NOT NULL)"""
+
+
 def _redact_sql() -> str:
     out = "text"
     for pattern, value in redact.RULES:
@@ -277,27 +302,34 @@ def oracle_sql() -> dict[str, str]:
     return {
         "audit_verdicts": f"WITH {W_} SELECT {VERDICT} AS verdict, count(*) AS n FROM w WHERE event_type = 'purchase' GROUP BY 1",
         "audit_varied_verdicts": f"WITH {W_} SELECT {VARIED_VERDICT} AS verdict, count(*) AS n FROM w WHERE event_type = 'purchase' GROUP BY 1",
-        "audit_claims": f"WITH {W_} SELECT user_id::VARCHAR AS session, 2 * pos - 1 AS seq, 'test' AS kind, CASE WHEN event_id % 3 = 0 THEN 'All 20 tests pass.' ELSE 'All tests pass.' END AS text, {VARIED_VERDICT} AS verdict FROM w WHERE event_type = 'purchase'",
+        "audit_claims": f"WITH {W_} SELECT user_id::VARCHAR AS session, 2 * pos - 1 AS seq, 'test' AS kind, CASE WHEN event_id % 3 = 0 THEN 'All 20 tests pass.' ELSE 'All tests pass.' END AS text, {VARIED_VERDICT} AS verdict, {VARIED_EVIDENCE} AS evidence FROM w WHERE event_type = 'purchase'",
         "audit_session_rollup": f"""WITH {W_}, v AS (SELECT *, CASE WHEN event_type = 'purchase' THEN {VERDICT} END AS verdict FROM w), s AS (SELECT user_id::VARCHAR AS session,
  count(*) FILTER (WHERE verdict = 'supported') AS supported, count(*) FILTER (WHERE verdict = 'unsupported') AS unsupported, count(*) FILTER (WHERE verdict = 'contradicted') AS contradicted,
  count(*) FILTER (WHERE event_type IN ('click', 'error', 'view')) AS commands, count(*) + count(*) FILTER (WHERE event_type IN ('click', 'error', 'view')) AS parsed_events, count(*) FILTER (WHERE event_type = 'signup') AS not_asserted FROM v GROUP BY 1)
  SELECT *, (CASE WHEN contradicted > 0 THEN 2 WHEN unsupported > 0 THEN 1 ELSE 0 END)::BIGINT AS exit_code FROM s""",
         "tool_pairs": f"WITH {E_} SELECT user_id::VARCHAR AS session, 't' || event_id AS tool_id, 2 * pos - 1 AS use_seq, 2 * pos AS result_seq FROM e WHERE event_type IN ('click', 'error', 'view')",
         "prior_calls_context": f"""WITH {E_}, c AS (SELECT *, sum((event_type IN ('click', 'error', 'view'))::INT) OVER (PARTITION BY user_id ORDER BY pos) AS n FROM e)
- SELECT t.user_id::VARCHAR AS session, 2 * t.pos - 1 AS seq, coalesce(string_agg((2 * k.pos - 1)::VARCHAR, ',' ORDER BY k.pos), '') AS lines FROM c t LEFT JOIN c k ON k.user_id = t.user_id AND k.event_type IN ('click', 'error', 'view') AND k.n BETWEEN t.n - 11 AND t.n WHERE t.event_type IN ('purchase', 'signup') GROUP BY 1, 2""",
+ SELECT t.user_id::VARCHAR AS session, 2 * t.pos - 1 AS seq, coalesce(string_agg((2 * k.pos - 1)::VARCHAR, ',' ORDER BY k.pos), '') AS lines, coalesce(string_agg(CASE k.event_type WHEN 'click' THEN 'F28' WHEN 'error' THEN 'T31' WHEN 'view' THEN '-17' END, ',' ORDER BY k.pos), '') AS results FROM c t LEFT JOIN c k ON k.user_id = t.user_id AND k.event_type IN ('click', 'error', 'view') AND k.n BETWEEN t.n - 11 AND t.n WHERE t.event_type IN ('purchase', 'signup') GROUP BY 1, 2""",
         "scope_reach": f"""WITH {E_}, k AS (SELECT *, {REACH_CMD} AS what FROM e WHERE event_type IN ('click', 'error', 'view'))
  SELECT DISTINCT user_id::VARCHAR AS session, what, CASE what WHEN 'host' THEN 'api' || event_id % 7 || '.host.example' WHEN 'install' THEN 'pkg' || event_id % 5 ELSE 'git push origin b' || event_id % 4 END AS value FROM k WHERE what <> 'opaque'""",
-        "scope_opaque": f"WITH {E_} SELECT user_id::VARCHAR AS session, 2 * pos - 1 AS seq, 'bash deploy' || event_id % 6 || '.sh' AS command FROM e WHERE event_type IN ('click', 'error') AND event_id % 3 = 2",
+        "scope_opaque": f"WITH {E_} SELECT user_id::VARCHAR AS session, 2 * pos - 1 AS seq, 'bash deploy' || event_id % 6 || '.sh' AS command, 'runs a script file' AS why FROM e WHERE event_type IN ('click', 'error') AND event_id % 3 = 2",
         "scope_summary": f"""WITH {E_}, k AS (SELECT *, CASE WHEN event_type IN ('click', 'error', 'view') THEN {REACH_CMD} END AS what FROM e)
  SELECT user_id::VARCHAR AS session, count(what) AS commands, count(DISTINCT CASE WHEN what = 'host' THEN event_id % 7 END) AS hosts, count(DISTINCT CASE WHEN what = 'push' THEN event_id % 4 END) AS pushes,
  count(DISTINCT CASE WHEN what = 'install' THEN event_id % 5 END) AS installs, count(*) FILTER (WHERE what = 'opaque') AS opaque, (CASE WHEN count(*) FILTER (WHERE what = 'opaque') > 0 THEN 1 ELSE 0 END)::BIGINT AS exit_code FROM k GROUP BY 1""",
+        "scope_shown": f"""WITH {E_}, k AS (SELECT *, {REACH_CMD} AS what FROM e WHERE event_type IN ('click', 'error', 'view')),
+ r AS (SELECT DISTINCT user_id::VARCHAR AS session, what, CASE what WHEN 'host' THEN 'api' || event_id % 7 || '.host.example' WHEN 'install' THEN 'pkg' || event_id % 5 ELSE 'git push origin b' || event_id % 4 END AS value FROM k WHERE what <> 'opaque')
+ SELECT session, what, count(*) AS n, array_to_string(list_sort(list(value))[1:3], ',') AS values FROM r GROUP BY 1, 2""",
+        "session_event_counts": f"""WITH {EVENTS_}, f AS (SELECT DISTINCT session FROM transcript_files WHERE session IS NOT NULL)
+ SELECT f.session, count(x.t) AS parsed_events, count(*) FILTER (WHERE x.t = 'use' AND tool = 'Bash') AS commands, count(x.t) = 0 AS no_transcript FROM f LEFT JOIN x ON x.session = f.session GROUP BY 1""",
+        "session_orphans": f"""WITH {EVENTS_}, p AS (SELECT session, t, lag(t) OVER w AS before, lead(t) OVER w AS after FROM x WHERE t <> 'text' WINDOW w AS (PARTITION BY session, id ORDER BY seq, idx))
+ SELECT session, count(*) FILTER (WHERE t = 'use' AND after IS DISTINCT FROM 'result') AS open_calls, count(*) FILTER (WHERE t = 'result' AND before IS DISTINCT FROM 'use') AS stray_results FROM p GROUP BY 1""",
         "fact_truth_counts": f"WITH {FACTS_} SELECT truth, count(*) AS n FROM f GROUP BY 1",
         "fact_report": f"""WITH {FACTS_}, s AS (SELECT chain, count(*) FILTER (WHERE truth = 'proven') AS done, count(*) FILTER (WHERE truth <> 'proven') AS open, 0::BIGINT AS blocked, count(*) FILTER (WHERE truth = 'illusion') AS illusions FROM f GROUP BY 1)
  SELECT *, (CASE WHEN open > 0 THEN 1 WHEN done = 0 THEN 2 ELSE 0 END)::BIGINT AS gate_strict, (CASE WHEN open > 0 THEN 1 ELSE 0 END)::BIGINT AS gate FROM s""",
         "hash_chain_heads": f"WITH {FACTS_}, l AS (SELECT chain, list(payload ORDER BY o_orderdate, o_orderkey) AS p FROM f GROUP BY 1) SELECT chain, list_reduce(list_prepend('genesis', p), lambda a, b: sha256(a || '|' || b)) AS head, len(p)::BIGINT AS entries FROM l",
         "hash_chain_tamper": f"WITH {FACTS_}, k AS (SELECT *, row_number() OVER (PARTITION BY chain ORDER BY o_orderdate, o_orderkey) - 1 AS pos FROM f) SELECT chain, count(*) AS entries, min(pos) FILTER (WHERE o_orderkey % 97 = 0) AS first_bad FROM k GROUP BY 1",
-        "conformance_summary": """WITH d AS (SELECT DISTINCT ON (run_id) run_id, tool, results FROM conformance_runs WHERE tool IS NOT NULL AND results IS NOT NULL), x AS (SELECT tool, unnest(results) AS r FROM d)
- SELECT tool, count(*) AS modes, count(*) FILTER (WHERE coalesce(r.passed, FALSE) AND r.error IS NULL) AS safe FROM x WHERE r.mode IS NOT NULL GROUP BY 1""",
+        "conformance_summary": f"""WITH {RUNS_}, d AS (SELECT * FROM n WHERE tool IS NOT NULL AND results IS NOT NULL), x AS (SELECT tool, unnest(results) AS r FROM d)
+ SELECT tool, count(*) AS modes, count(*) FILTER (WHERE r.passed) AS safe FROM x WHERE r.mode IS NOT NULL GROUP BY 1""",
         "checklist_profiles": words.removeprefix(" UNION ALL "),
         "redact_documents": f"SELECT doc_id, {_redact_sql()} AS text FROM documents WHERE text IS NOT NULL",
         "redact_leaks": f"WITH d AS (SELECT {_redact_sql()} AS text FROM documents WHERE text IS NOT NULL) SELECT count(*) AS documents, count(*) FILTER (WHERE {leak}) AS leaks FROM d",
