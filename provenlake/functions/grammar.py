@@ -172,7 +172,7 @@ def let(value: Column, body) -> Column:
 
 
 def claim_state(kind: str, p: Column) -> Column:
-    """claim, refused (no assertion) or null for one kind of one probe; the pattern runs once."""
+    """claim, refused (no assertion) or null for one kind of one probe; where the pattern matches, it is cut out in one run."""
     split = rf"(?Ud)(?i)^((?s:.*?))((?:{CLAIM[kind]}))((?s:.*))$"
 
     def judged(m: Column) -> Column:
@@ -184,9 +184,10 @@ def claim_state(kind: str, p: Column) -> Column:
             return ~has(own, NEGATION) & let(upto, lambda u: ~any_of([has(u, x) for x in NOT_ASSERTED]))
 
         states = ~partial_result(p) & let(_own_words(clause(before, match, after)), asserted)
-        return F.when(F.size(m) > 1, F.when(counts, F.when(states, "claim").otherwise("refused")))
+        return F.when(counts, F.when(states, "claim").otherwise("refused"))
 
-    return let(F.split(F.regexp_replace(p, split, f"$1{CUT}$2{CUT}$%d" % _groups(CLAIM[kind])), CUT), judged)
+    cut = F.split(F.regexp_replace(p, split, f"$1{CUT}$2{CUT}$%d" % _groups(CLAIM[kind])), CUT)
+    return F.when(has(p, CLAIM[kind]), let(cut, judged))
 
 
 def _groups(pattern: str) -> int:

@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provenlake.functions.grammar import let
 from provenlake.sources.transcripts import CONTENT_NAMES, field, first_present, string_of, vget
 
 
@@ -62,8 +63,6 @@ def digest_of(meta: Column) -> Column:
     text has no more levels than brackets, so the walk has an end for any depth.
     """
     own = lambda d: F.nullif(string_of(field(d, "result_digest")), F.lit(""))
-    text = F.to_json(decoded(meta))
-    levels = F.when(text.contains("result_digest"), F.length(F.regexp_replace(text, r"[^\[{]", ""))).otherwise(0)
     none = F.array().cast("array<variant>")
 
     def deeper(state: Column, _: Column) -> Column:
@@ -71,8 +70,12 @@ def digest_of(meta: Column) -> Column:
         step = F.struct(F.get(F.filter(F.transform(below, own), lambda x: x.isNotNull()), F.lit(0)).alias("found"), below.alias("level"))
         return F.when(state["found"].isNotNull() | (F.size(state["level"]) == 0), state).otherwise(step)
 
-    start = F.struct(own(decoded(meta)).alias("found"), F.array(decoded(meta)).alias("level"))
-    return F.coalesce(own(decoded(meta)), F.when(levels > 0, F.aggregate(F.sequence(F.lit(1), levels), start, deeper)["found"]))
+    def walk(d: Column) -> Column:
+        start = F.struct(F.lit(None).cast("string").alias("found"), F.array(d).alias("level"))
+        below = lambda text: F.when(text.contains("result_digest"), F.aggregate(F.sequence(F.lit(1), F.length(F.regexp_replace(text, r"[^\[{]", ""))), start, deeper)["found"])
+        return F.coalesce(own(d), let(F.to_json(d), below))
+
+    return let(decoded(meta), walk)
 
 
 def artifacts_table(docs: DataFrame) -> DataFrame:

@@ -158,7 +158,7 @@ def audit_bindings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    graded = audit.audit(R._events(spark, sf_dir, R.varied, R.counted_claim))
+    graded = audit.audit(R._once(R._events(spark, sf_dir, R.varied, R.counted_claim)))
     return graded.select("session", "seq", "text", "verdict", F.concat_ws(":", "session", "seq").alias("claim_id"))
 
 

@@ -54,23 +54,28 @@ def _recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.events(blocks(canonical_lines(read_table(spark, sf_dir, "transcript_lines"))))
 
 
+def _once(ev: DataFrame) -> DataFrame:
+    """Events that are read more than once are parsed once, into a written table."""
+    return written(ev.drop("input"))[0]
+
+
 def _rollup(ev: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
     """Events and graded sentences are read several times: both are written once."""
-    ev, _ = written(ev)
+    ev = _once(ev)
     grades, _ = written(audit.graded_sentences(ev))
     return audit.session_rollup(ev, audit.audit(ev, grades), sessions, grades)
 
 
 def audit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit(_events(spark, sf_dir)).groupBy("verdict").agg(F.count("*").alias("n"))
+    return audit.audit(_once(_events(spark, sf_dir))).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 def audit_varied_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit(_events(spark, sf_dir, varied, counted_claim)).groupBy("verdict").agg(F.count("*").alias("n"))
+    return audit.audit(_once(_events(spark, sf_dir, varied, counted_claim))).groupBy("verdict").agg(F.count("*").alias("n"))
 
 
 def audit_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit(_events(spark, sf_dir, varied, counted_claim)).select("session", "seq", "kind", "text", "verdict", "evidence")
+    return audit.audit(_once(_events(spark, sf_dir, varied, counted_claim))).select("session", "seq", "kind", "text", "verdict", "evidence")
 
 
 def audit_session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +87,7 @@ def tool_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prior_calls_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = evalkit.prior_calls(_events(spark, sf_dir))
+    c = evalkit.prior_calls(written(_events(spark, sf_dir))[0])
     return c.select("session", "seq", F.array_join(F.transform("calls", lambda x: x["line"].cast("string")), ",").alias("lines"), F.array_join(F.transform("calls", lambda x: F.concat(F.when(x["is_error"], "T").when(~x["is_error"], "F").otherwise("-"), F.length(x["result_tail"]).cast("string"))), ",").alias("results"))
 
 
@@ -95,11 +100,11 @@ def scope_opaque(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scope_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scope.summary(_events(spark, sf_dir, reaching)).select("session", "commands", "hosts", "pushes", "installs", "opaque", "exit_code")
+    return scope.summary(_once(_events(spark, sf_dir, reaching))).select("session", "commands", "hosts", "pushes", "installs", "opaque", "exit_code")
 
 
 def session_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.audit(_recorded(spark, sf_dir))
+    return audit.audit(_once(_recorded(spark, sf_dir)))
 
 
 def session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +113,7 @@ def session_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def session_event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the scope report says of each recorded file before any effect: events, commands, and exit code 3 where nothing was read."""
-    s = scope.summary(_recorded(spark, sf_dir), read_table(spark, sf_dir, "transcript_files"))
+    s = scope.summary(_once(_recorded(spark, sf_dir)), read_table(spark, sf_dir, "transcript_files"))
     return s.select("session", "parsed_events", "commands", (F.col("exit_code") == 3).alias("no_transcript"))
 
 
