@@ -284,6 +284,7 @@ RUNS_ = "n AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION B
 REACH_CMD = "CASE WHEN event_type = 'view' THEN 'host' WHEN event_id % 3 = 0 THEN 'install' WHEN event_id % 3 = 1 THEN 'push' ELSE 'opaque' END"
 
 
+BLANK_ = r"[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 EVENTS_ = """l AS (SELECT session, seq, min_by(raw, line_id) AS raw FROM transcript_lines WHERE json_valid(raw) AND trim(raw) <> '' AND session IS NOT NULL AND seq IS NOT NULL GROUP BY 1, 2),
  b AS (SELECT session, seq, raw->>'$.type' AS lt, unnest(json_extract(raw, '$.message.content[*]')) AS b, unnest(range(json_array_length(raw, '$.message.content')::BIGINT)) AS idx FROM l WHERE json_type(raw) = 'OBJECT' AND json_type(raw, '$.message.content') = 'ARRAY'),
  x AS (SELECT session, seq, idx, t, CASE t WHEN 'use' THEN b->>'$.id' WHEN 'result' THEN b->>'$.tool_use_id' END AS id, b->>'$.name' AS tool FROM (SELECT *, CASE WHEN lt = 'assistant' AND b->>'$.type' = 'text' AND json_type(b, '$.text') = 'VARCHAR' AND b->>'$.text' <> '' THEN 'text'
@@ -328,6 +329,13 @@ def oracle_sql() -> dict[str, str]:
  SELECT f.session, count(x.t) AS parsed_events, count(*) FILTER (WHERE x.t = 'use' AND tool = 'Bash') AS commands, count(x.t) = 0 AS no_transcript FROM f LEFT JOIN x ON x.session = f.session GROUP BY 1""",
         "session_orphans": f"""WITH {EVENTS_}, p AS (SELECT session, t, lag(t) OVER w AS before, lead(t) OVER w AS after FROM x WHERE t <> 'text' WINDOW w AS (PARTITION BY session, id ORDER BY seq, idx))
  SELECT session, count(*) FILTER (WHERE t = 'use' AND after IS DISTINCT FROM 'result') AS open_calls, count(*) FILTER (WHERE t = 'result' AND before IS DISTINCT FROM 'use') AS stray_results FROM p GROUP BY 1""",
+        "session_candidates": rf"""WITH {EVENTS_}, t AS (SELECT session, b->>'$.text' AS text FROM b WHERE lt = 'assistant' AND json_type(b) = 'OBJECT' AND b->>'$.type' = 'text' AND json_type(b, '$.text') = 'VARCHAR' AND b->>'$.text' <> ''),
+ s AS (SELECT session, regexp_replace(unnest(string_split(regexp_replace(text, '([.!\n]){BLANK_}+', '\1' || chr(1), 'g'), chr(1))), '^{BLANK_}+|{BLANK_}+$', '', 'g') AS s FROM t)
+ SELECT session, count(*) FILTER (WHERE m) AS inside, count(*) FILTER (WHERE NOT m) AS outside FROM (SELECT session, regexp_matches(s, '(?i){grammar.WIDE_NET}') AS m FROM s WHERE length(s) >= 4) GROUP BY 1""",
+        "conformance_facts": f"""WITH {RUNS_}, x AS (SELECT run_id, tool, unnest(results) AS r, unnest(range(len(results)::BIGINT)) AS pos FROM n WHERE tool IS NOT NULL AND results IS NOT NULL)
+ SELECT run_id, tool, pos, r.mode AS mode, CASE WHEN coalesce(r.error, '') <> '' THEN r.mode || ': run errored — ' || r.error WHEN r.distinct IS NULL THEN r.mode || ': no settlement count recorded' ELSE r.mode || ': ' || r.distinct || ' distinct settlement' || CASE WHEN r.distinct = 1 THEN '' ELSE 's' END || ' for one purchase' END AS claim,
+ CASE WHEN r.passed THEN 'mode=' || r.mode || ' distinct_settlements=' || coalesce(r.distinct::VARCHAR, 'None') || ' settle_calls=' || coalesce(r.settle_calls::VARCHAR, 'None') ELSE '' END AS evidence,
+ CASE WHEN r.passed THEN 'none — this mode is safe' ELSE 'fix the client: re-present the SAME payment authorization on an ambiguous retry instead of minting a new one, then re-run the battery' END AS next, CASE WHEN r.passed THEN 'proven' ELSE 'claimed' END AS truth FROM x WHERE r.mode IS NOT NULL""",
         "fact_truth_counts": f"WITH {FACTS_} SELECT truth, count(*) AS n FROM f GROUP BY 1",
         "fact_report": f"""WITH {FACTS_}, s AS (SELECT chain, count(*) FILTER (WHERE truth = 'proven') AS done, count(*) FILTER (WHERE truth <> 'proven') AS open, 0::BIGINT AS blocked, count(*) FILTER (WHERE truth = 'illusion') AS illusions FROM f GROUP BY 1)
  SELECT *, (CASE WHEN open > 0 THEN 1 WHEN done = 0 THEN 2 ELSE 0 END)::BIGINT AS gate_strict, (CASE WHEN open > 0 THEN 1 ELSE 0 END)::BIGINT AS gate FROM s""",
