@@ -4,12 +4,15 @@ Method: grouped iterative stratification.  Components of tied entries are found
 (star steps, no pairs), their label vectors are aggregated, and components are
 placed with the rarest outstanding label first into the split needing it most.
 
-At scale the placing has two parts.  Components so large that they could unbalance
-a split (at least ``GIANT`` of all entries, hence at most ``1 / GIANT`` of them) are
-placed one by one.  The rest is placed in one distributed pass: a driver loop over
-label presence patterns (at most 2 ** labels rows, independent of the data size)
-fixes the order of labels and the share of each split, and every component takes
-the split in which the middle of its stretch of the running total falls.
+At scale the placing has three parts, so that no loop runs over all components.
+Components so large that they could unbalance a split (at least ``GIANT`` of all
+entries, hence at most ``1 / GIANT`` of them) are placed one by one first.  All others
+but ``TAIL`` are placed in one distributed pass: a driver loop over label presence
+patterns (at most 2 ** labels rows, independent of the data size) fixes the order of
+labels and the share of each split, and every component takes the split in which the
+middle of its stretch of the running total falls.  The ``TAIL`` components, the first
+in hash order, are then placed one by one by what the splits still need, which evens
+out what the pass rounded.
 
 Defined results: missing or placeholder values (null, blank, '-', n/a, unknown,
 none) tie nothing; an entry without ties is its own component; an entry listed
@@ -28,6 +31,7 @@ from provenlake.session import written
 
 PROPORTIONS = {"train": 0.8, "dev": 0.1, "test": 0.1}
 GIANT = 0.002
+TAIL = 1000
 BUCKETS = 1024
 MISSING = ("", "unknown", "na", "none", "null", "nil", "anonymous", "missing", "undefined", "tbd")
 SPELLINGS = {"training": "train", "trn": "train", "validation": "dev", "valid": "dev", "val": "dev", "development": "dev", "testing": "test"}
@@ -97,9 +101,14 @@ def stratified_splits(tied: DataFrame, proportions: dict[str, float] | None = No
     total = groups.agg(F.sum("n")).first()[0] or 0
     mask = F.expr("aggregate(transform(vec, (x, i) -> if(x > 0, shiftleft(1L, i), 0L)), 0L, (a, b) -> a | b)")
     giant = F.col("n") >= max(2, GIANT * total)
-    patterns = groups.where(~giant).groupBy(mask.alias("mask")).agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("vec")[i]) for i in range(len(names))]).alias("vec")).collect()
+    small = groups.where(~giant).withColumn("_h", F.xxhash64("component"))
+    tail = small.orderBy("_h", "component").limit(TAIL).collect()
+    if tail:
+        h, c = tail[-1]["_h"], tail[-1]["component"]
+        small = small.where((F.col("_h") > h) | ((F.col("_h") == h) & (F.col("component") > c)))
+    patterns = small.groupBy(mask.alias("mask")).agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("vec")[i]) for i in range(len(names))]).alias("vec")).collect()
     giants = groups.where(giant).orderBy(F.desc("n"), "component").collect()
-    sums = [sum(r["vec"][i] for r in [*patterns, *giants]) for i in range(len(names))]
+    sums = [sum(r["vec"][i] for r in [*patterns, *giants, *tail]) for i in range(len(names))]
     need = {s: [proportions[s] * t for t in sums] for s in splits}
     room = {s: proportions[s] * total for s in splits}
 
@@ -117,11 +126,16 @@ def stratified_splits(tied: DataFrame, proportions: dict[str, float] | None = No
         return out
 
     placed = []
-    for u, i in rarest(giants):
-        s = max(splits, key=lambda s: (room[s] >= u["n"], need[s][i] if i is not None else room[s], room[s], s))
-        placed.append((u["component"], s))
-        room[s] -= u["n"]
-        need[s] = [a - b for a, b in zip(need[s], u["vec"])]
+
+    def place(units: list, room: dict, need: dict) -> None:
+        for u, i in rarest(units):
+            s = max(splits, key=lambda s: (room[s] >= u["n"], need[s][i] if i is not None else room[s], room[s], s))
+            placed.append((u["component"], s))
+            room[s] -= u["n"]
+            need[s] = [a - b for a, b in zip(need[s], u["vec"])]
+
+    place(giants, room, need)
+    room_, need_ = dict(room), {s: list(v) for s, v in need.items()}
     shares = []
     for u, i in rarest(patterns):
         want = {s: max(0.0, need[s][i] if i is not None else room[s]) for s in splits}
@@ -140,18 +154,24 @@ def stratified_splits(tied: DataFrame, proportions: dict[str, float] | None = No
         # patterns with few components would all favour the first split: each starts elsewhere on the circle
         shares.append((u["mask"], float(u["n"]), len(shares) * 0.6180339887498949 % 1.0, *edges))
     spark = tied.sparkSession
-    # both tables are bounded by the pattern count and by 1 / GIANT, whatever the data
+    # bounded by the pattern count, whatever the data
     table = spark.createDataFrame(shares or [(-1, 1.0, 0.0, *[1.0] * len(splits))], "mask long, whole double, start double, " + ", ".join(f"e{i} double" for i in range(len(splits))))
-    big = spark.createDataFrame(placed or [(-1, splits[0])], "component long, split string")
     # running totals in two levels: inside a hash bucket, and over the buckets
-    small = groups.where(~giant).withColumn("mask", mask).withColumn("_h", F.xxhash64("component")).withColumn("_b", F.pmod("_h", F.lit(BUCKETS)))
+    rest = small.withColumn("mask", mask).withColumn("_b", F.pmod("_h", F.lit(BUCKETS)))
     inner = Window.partitionBy("mask", "_b").orderBy("_h", "component").rowsBetween(Window.unboundedPreceding, -1)
-    before = small.groupBy("mask", "_b").agg(F.sum("n").alias("bn"))
+    before = rest.groupBy("mask", "_b").agg(F.sum("n").alias("bn"))
     outer = Window.partitionBy("mask").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     before = before.select("mask", "_b", F.coalesce(F.sum("bn").over(outer), F.lit(0)).alias("_from"))
     at = (F.col("_from") + F.coalesce(F.sum("n").over(inner), F.lit(0)) + F.col("n") / 2) / F.col("whole")
     at = (at + F.col("start")) % 1.0
     pick = F.coalesce(*[F.when(F.col("at") < F.col(f"e{i}"), s) for i, s in enumerate(splits)], F.lit(splits[0]))
-    spread = small.join(before, ["mask", "_b"]).join(F.broadcast(table), "mask").withColumn("at", at).select("component", pick.alias("split"))
-    chosen = spread.unionByName(big.where("component <> -1"))
-    return tied.join(chosen, "component").select("entry_id", "component", "split")
+    spread, _ = written(rest.join(before, ["mask", "_b"]).join(F.broadcast(table), "mask").withColumn("at", at).select("component", pick.alias("split"), "n", "vec"))
+    # what the pass really placed; then the tail by what is still needed
+    room, need = room_, need_
+    for r in spread.groupBy("split").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.col("vec")[i]) for i in range(len(names))]).alias("vec")).collect():
+        room[r["split"]] -= r["n"]
+        need[r["split"]] = [a - b for a, b in zip(need[r["split"]], r["vec"])]
+    place(tail, room, need)
+    # bounded by TAIL and 1 / GIANT
+    single = spark.createDataFrame(placed or [(-1, splits[0])], "component long, split string").where("component <> -1")
+    return tied.join(spread.select("component", "split").unionByName(single), "component").select("entry_id", "component", "split")
