@@ -54,7 +54,8 @@ PER_LABEL = 5_000
 ROUNDS = 3
 DISCOUNT = 0.75
 THRESHOLD = 1.2  # mean gain per word, in nats
-TOTAL = 6.0  # gain of the whole passage, in nats
+TOTAL = 6.0  # gain of the whole passage, in nats, over a model of WORDS words of ordinary text; it grows with the log of its size
+WORDS = 100
 LISTED = 3.0  # gain of a passage from which it is listed beside the document's scores, which have no such bound
 SHORTEST = 3  # words of a passage; a shorter sentence is one
 ALSO = 0.5  # share of a passage's gain from which it is of a further category too; words in common alone give up to about 0.25
@@ -347,6 +348,9 @@ class Models:
         a, b, c = (np.concatenate([getattr(text, x), getattr(seed, x)]) for x in "abc")
         times = np.concatenate([np.ones(len(text.c)), np.full(len(seed.c), 2.0)])
         # the lowest order counts the pairs of all classes
+        # the more ordinary text there is, the greater the gains that chance gives somewhere in it
+        ordinary = int(((role == 0) & (kind == 0)).sum() + (seed_role == 0).sum())
+        self.least = TOTAL + max(0.0, math.log(ordinary / WORDS))
         total, shared = shared_order(np.unique(pair(b, c)))
         for r in range(ROUNDS):
             # what is left of a toxic document beside its stretches may be toxic too: it is in no model
@@ -491,7 +495,8 @@ def score_documents(docs: DataFrame, models: Models) -> DataFrame:
     """(doc_id, source, abusive, hateful, sexual, then the same with _mean, then with _passages): scores of every document.
 
     The first two are of the category's greatest gain, however small.  Passages are the stretches that are of the category
-    itself, as (total, mean), all of at least LISTED that no other surpasses in both."""
+    itself, as (total, mean), all of at least LISTED that no other surpasses in both.  ``least`` is the total from which
+    a passage counts."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
     names = [*CATEGORIES, *(f"{k}_mean" for k in CATEGORIES)]
     lists = [f"{k}_passages" for k in CATEGORIES]
@@ -505,15 +510,16 @@ def score_documents(docs: DataFrame, models: Models) -> DataFrame:
                 totals, means, found = m.score([words.of(t) for t in b.column(2).to_pylist()])
                 cols = [pa.array(v, pa.float64()) for v in (*totals, *means)]
                 cols += [pa.array([[{"total": a, "mean": z} for a, z in p] for p in row], passage) for row in found]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "source", *names, *lists])
+                cols.append(pa.array([m.least] * len(b), pa.float64()))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=["doc_id", "source", *names, *lists, "least"])
 
-    kinds = [*(f"{n} double" for n in names), *(f"{n} array<struct<total double, mean double>>" for n in lists)]
+    kinds = [*(f"{n} double" for n in names), *(f"{n} array<struct<total double, mean double>>" for n in lists), "least double"]
     return docs.select("doc_id", "source", "text").mapInArrow(run, "doc_id long, source string, " + ", ".join(kinds))
 
 
 def hits(category: str) -> Column:
     """Whether a document holds a passage of the category."""
-    return F.exists(f"{category}_passages", lambda p: (p["total"] >= TOTAL) & (p["mean"] >= THRESHOLD))
+    return F.exists(f"{category}_passages", lambda p: (p["total"] >= F.col("least")) & (p["mean"] >= THRESHOLD))
 
 
 def flagged(scores: DataFrame) -> DataFrame:
