@@ -106,3 +106,17 @@ def test_conversations(spark):
     kept = sorted((r["session"], r["turn"], r["depth"], r["role"]) for r in conversations.conversations(fs, turns, found).collect())
     assert [k for k in kept if k[0] == "good"] == [("good", 1, 0, "user"), ("good", 1, 1, "assistant"), ("good", 1, 2, "user"), ("good", 1, 3, "assistant"), ("good", 5, 0, "user"), ("good", 5, 1, "assistant")]
     assert max(k[2] for k in kept if k[0] == "long") == 71
+
+
+def test_placing_with_a_short_tail_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(splits, "TAIL", 3)
+    rows = [(i, f"f{i // 2}", None, None, random.Random(i).choice(("train", "dev", "test", None)), 4 ** (3 + i % 6), "", "") for i in range(400)]
+    rows += [(7, "f190", None, None, "train", 1, "", "")]  # entry 7 again: ties its group to that of f190
+    tied = splits.tied_entries(spark.createDataFrame(rows, MANIFEST))
+    group = {r["entry_id"]: r["component"] for r in tied.collect()}
+    assert len(group) == 400 and group[7] == group[6] == group[380] == group[381]
+    out = splits.stratified_splits(tied).collect()
+    by = {}
+    assert len(out) == 400 and all(by.setdefault(r["component"], r["split"]) == r["split"] for r in out)
+    assert abs(sum(r["split"] == "train" for r in out) / 400 - 0.8) < 0.03
+    assert splits.stratified_splits(tied.limit(0)).count() == 0

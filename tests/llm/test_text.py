@@ -347,3 +347,18 @@ def test_near_leaks_against_brute_force(spark):
     assert got == {(r["doc_id"], r["item_id"]) for r in leakage.near_leaks(df, it, 7).collect()}
     assert leakage.near_leaks(df.limit(0), it).count() == 0 and leakage.near_leaks(df, it.limit(0)).count() == 0
     print("recall", len(got) / len(want))
+
+
+def test_credentials_behind_long_names():
+    name = "service." * 30 + "db_password"
+    assert [v for _, v, s in credentials.literals(f"{name} = 'Zx81kQpL0aVt77'") if s] == ["Zx81kQpL0aVt77"]
+    # a public key is none, however long the name before it
+    assert not [v for _, v, s in credentials.literals(f"public_{'x' * 100}_key = 'Zx81kQpL0aVt77Zx81kQpL0aVt77'") if s]
+
+
+def test_long_paragraphs_of_quotations_stay_fast():
+    import time
+
+    text = 'He said "Go." and left. ' * 4000
+    began = time.time()
+    assert len(sentences.unit_ends(text)) == 4000 and time.time() - began < 20
