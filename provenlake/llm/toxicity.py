@@ -472,23 +472,24 @@ def majority_labels(labels: DataFrame) -> DataFrame:
 
 
 def numbered(texts: DataFrame) -> DataFrame:
-    """(label, words): the words of each text as numbers, each sentence after a 0."""
+    """(label, doc_id, words): the words of each text as numbers, each sentence after a 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Numbers()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([words.of(t) for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], names=["label", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([words.of(t) for t in b.column(2).to_pylist()], pa.list_(pa.int32()))], names=["label", "doc_id", "words"])
 
-    return texts.select("label", "text").mapInArrow(run, "label string, words array<int>")
+    return texts.select("label", "doc_id", "text").mapInArrow(run, "label string, doc_id long, words array<int>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL) -> Models:
     order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = majority_labels(labels).where(F.col("label").isin(*CLASSES)).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label).drop("_n")
     # at most per_label rows a class, and their words only
-    rows = numbered(docs.where("text is not null and doc_id is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).toArrow()
-    both = sorted(zip(rows.column(0).to_pylist(), map(tuple, rows.column(1).to_pylist())))
-    return Models.of_numbers([r[0] for r in both], [np.array(r[1], np.int64) for r in both])
+    rows = numbered(docs.where("text is not null and doc_id is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).toArrow().sort_by([("label", "ascending"), ("doc_id", "ascending")])
+    words = rows["words"].combine_chunks()
+    offsets, values = words.offsets.to_numpy(), words.values.to_numpy()
+    return Models.of_numbers(rows["label"].to_pylist(), [values[a:z] for a, z in zip(offsets[:-1], offsets[1:])])
 
 
 def score_documents(docs: DataFrame, models: Models) -> DataFrame:
