@@ -117,11 +117,8 @@ def verify_links(entries: DataFrame, chain: str, order: list[str], link: Link, b
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = []
-            for row in b.select(names).to_pylist() if b.num_rows else ():
-                good.append(row)
             before = [x or GENESIS for x in b.column(b.schema.get_field_index("prev")).to_pylist()]
-            ok = [r["prev_hash"] == p and r["entry_hash"] == link(p, r) for r, p in zip(good, before)]
+            ok = [r["prev_hash"] == p and r["entry_hash"] == link(p, r) for r, p in zip(b.select(names).to_pylist(), before)]
             yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index(chain)), b.column(b.schema.get_field_index("_pos")), pa.array(ok, pa.bool_())], names=[chain, "_pos", "good"])
 
     extra = F.lit(True) if also is None else F.coalesce(also, F.lit(False))
